@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Arrow batches handed to Python stay below this many bytes, whatever the length of a text.
 BATCH_BYTES = "16m"
@@ -51,3 +54,26 @@ def text_of(name: str = "text") -> Column:
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of an id's decimal digits, modulo modulus; null ids count as empty text."""
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
+
+
+def annotate(docs: DataFrame, text_col: str, keep: list[str], added: str, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]]) -> DataFrame:
+    """The columns `keep` of docs and the columns `added` (a DDL string), computed in Arrow batches from whole texts.
+
+    make() is called once a task and gives a function from a batch's UTF-8 texts (null: empty) to one array for each
+    added column. Inside, columns have names of their own, so names in docs cannot clash.
+    """
+    bounded_batches(docs.sparkSession)
+    names = [f"c{k}" for k in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text_col}`").cast("string").alias("raw"))
+    extra = StructType.fromDDL(added)
+    inner = StructType([*rows.schema.fields[:-1], *[StructField(f"a{k}", f.dataType) for k, f in enumerate(extra)]])
+    within = inner.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            raw = batch.column(batch.num_columns - 1)
+            texts = [b"" if x is None else x for x in raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(texts)], within)
+
+    return rows.mapInArrow(run, inner).toDF(*keep, *extra.names)
