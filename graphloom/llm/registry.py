@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, mixing, quality, sharding, simhash, toxicity
+from graphloom.llm import decontaminate, mixing, pii, quality, sharding, simhash, toxicity
 from graphloom.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir), max_repeats=mixing.MAX_REPEATS)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op10_decontaminate": op10_decontaminate,
     "pipeline": pipeline,
