@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, mixing, pii, quality, sharding, simhash, toxicity
+from graphloom.llm import decontaminate, mixing, pii, quality, secrets, sharding, simhash, toxicity
 from graphloom.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(documents(spark, sf_dir))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -51,10 +55,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
+    "op8_secrets": op8_secrets,
     "op10_decontaminate": op10_decontaminate,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_secrets": secrets.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
