@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, mixing, pii, quality, secrets, sharding, simhash, toxicity
+from graphloom.llm import decontaminate, licenses, mixing, pii, quality, secrets, sharding, simhash, toxicity
 from graphloom.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -56,11 +60,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op8_secrets": secrets.ORACLE,
+    "op9_licenses": licenses.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
