@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, licenses, mixing, pii, quality, secrets, sharding, simhash, toxicity
+from graphloom.llm import decontaminate, licenses, media, mixing, pii, quality, secrets, sharding, simhash, toxicity
 from graphloom.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(documents(spark, sf_dir))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(documents(spark, sf_dir))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
+    "op7_media": op7_media,
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
