@@ -24,7 +24,7 @@ _SPARK: dict[str, T.DataType] = {
     "FIXED_STRING": T.StringType(),
     "TIMESTAMP": T.LongType(),
     "DATE": T.DateType(),
-    "TIME": T.TimeType(6),
+    "TIME": T.DayTimeIntervalType(T.DayTimeIntervalType.HOUR, T.DayTimeIntervalType.SECOND),  # since midnight: Spark's TIME is off by default
     "DATETIME": T.TimestampNTZType(),
 }
 INTS = {"INT8": 8, "INT16": 16, "INT32": 32, "INT64": 64}
@@ -68,7 +68,7 @@ def _kind(data_type: T.DataType) -> str:
         "float": (T.FloatType, T.DoubleType),
         "string": (T.StringType,),
         "date": (T.DateType,),
-        "time": (T.TimeType,),
+        "time": (T.TimeType, T.DayTimeIntervalType),
         "datetime": (T.TimestampNTZType, T.TimestampType),
         "null": (T.NullType,),
     }.items():
@@ -95,9 +95,9 @@ ACCEPTS: dict[str, set[str]] = {
 
 def truncated(value: Column, length: int) -> Column:
     """At most `length` UTF-8 bytes of a string, cut between characters."""
-    cut = F.substring(F.encode(value, "UTF-8"), 1, length)
-    whole = F.decode(cut, "UTF-8")
-    return F.when(F.octet_length(value) <= length, value).otherwise(F.regexp_replace(whole, "�+$", ""))
+    raw = F.encode(value, "UTF-8")
+    cuts = [F.try_validate_utf8(F.substring(raw, 1, n).cast("string")) for n in range(length, max(length - 4, -1), -1)]
+    return F.when(F.octet_length(value) <= length, value).otherwise(F.coalesce(*cuts))
 
 
 def coerce(value: Column, incoming: T.DataType, target: PropertyType) -> tuple[Column, Column]:
@@ -116,6 +116,8 @@ def coerce(value: Column, incoming: T.DataType, target: PropertyType) -> tuple[C
         return whole, F.when(~whole.between(0, MAX_SECONDS), F.lit("INCORRECT_VALUE"))
     if target.name == "BOOL" and kind in ("int", "int64"):
         return value != 0, F.lit(None).cast("string")
+    if target.name == "TIME" and isinstance(incoming, T.TimeType):
+        value = value - F.expr("TIME'00:00:00'")
     got = value.try_cast(target.stored)
     if target.name == "FLOAT" and kind == "float":
         return got, F.when(F.abs(value.cast("double")) > F.lit(3.4028234663852886e38), F.lit("OUT_OF_RANGE"))

@@ -177,6 +177,7 @@ def test_catalog_rules():
         ("DATE'2020-02-20'", "DATETIME", __import__("datetime").datetime(2020, 2, 20), None),
         ("TIMESTAMP_NTZ'2020-02-20 10:00:00'", "DATE", __import__("datetime").date(2020, 2, 20), None),
         ("DATE'2020-02-20'", "TIME", None, "TYPE_MISMATCH"),
+        ("INTERVAL '10:20:30' HOUR TO SECOND", "TIME", __import__("datetime").timedelta(hours=10, minutes=20, seconds=30), None),
     ],
 )
 def test_coercion(spark, sql, target, value, error):
