@@ -42,11 +42,11 @@ _PLACED = "SELECT 'c' || o_custkey AS _src, CAST(0 AS BIGINT) AS _rank, 'o' || o
 _ORDER_STATS = (Stat("n", "placed", "_rank", "COUNT"), Stat("total", "placed", "o_totalprice", "SUM"), Stat("mean", "placed", "o_totalprice", "AVG"), Stat("least", "placed", "o_totalprice", "MIN"), Stat("most", "placed", "o_totalprice", "MAX"))
 
 
-@query("SELECT 'c' || c_custkey AS _vid, count(o_orderkey) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 2) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("SELECT 'c' || c_custkey AS _vid, count(o_orderkey) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def neighbors_stats(spark, d):
     g = graph(spark, d, ("customer",), ("placed",))
     found = traverse.stats(g, g.tag("customer").frame, Traversal(hops=(Hop("placed"),), stats=_ORDER_STATS))
-    return found.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 2)})
+    return found.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 6)})
 
 
 @query("""SELECT 'c' || c_custkey AS _vid, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total, CAST(coalesce(max(o_shippriority), -9223372036854775808) AS BIGINT) AS most
