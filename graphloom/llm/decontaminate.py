@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +20,8 @@ from graphloom.llm.common import annotate, bounded_batches, text_of
 
 WINDOW = 13
 #: Benchmark text that one search holds; a larger benchmark is searched in several such blocks, one after the other.
-BLOCK_BYTES = 32 << 20
+#: The tables take some 80 bytes for each byte of text, so a Python worker needs about a third of a GB at most.
+BLOCK_BYTES = 4 << 20
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -86,20 +87,20 @@ def covered(found: list[Match]) -> int:
     return total
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> list[list[tuple[str, bytes]]]:
-    """The items, in blocks of bounded size; each block is fetched on its own."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items, in blocks of about `most` bytes; the driver holds one at a time."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), text_of(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // most) or 1
     share = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [[(r.item, r.text.encode()) for r in share.where(F.col("block") == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.item, r.text.encode()) for r in share.where(F.col("block") == k).collect()]
 
 
 def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
     """keep and n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]
+    shared = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
 
     def make() -> Callable[[list[bytes]], list[pa.Array]]:
         whole = [matchers(shared[0].value, window)] if len(shared) == 1 else None
