@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import site
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
+from zipfile import ZipFile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +19,26 @@ from pyspark.sql.types import StructField, StructType
 BATCH_BYTES = "16m"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to Python workers, once a session, where neither their working folder nor PYTHONPATH has it.
+
+    A package that was itself sent (--py-files) or installed is left alone.
+    """
+    root = Path(__file__).resolve().parents[2]
+    seen = {Path(p or ".").resolve() for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]}
+    if root in seen or not root.is_dir() or (app := spark.sparkContext.applicationId) in _shipped:
+        return
+    path = f"{tempfile.mkdtemp(prefix='graphloom-')}/graphloom.zip"
+    with ZipFile(path, "w") as out:
+        for f in sorted((root / "graphloom").rglob("*.py")):
+            out.write(f, str(f.relative_to(root)))
+    spark.sparkContext.addPyFile(path)  # the driver serves the file to executors
+    _shipped.add(app)
+
+
+_shipped: set[str] = set()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontaminate, licenses, media, mixing, pii, quality, secrets, sharding, simhash, toxicity
-from graphloom.llm.common import documents
+from graphloom.llm.common import documents, ship
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,19 +56,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash,
-    "op2_toxicity": op2_toxicity,
-    "op3_quality": op3_quality,
-    "op4_mixing": op4_mixing,
-    "op5_pii": op5_pii,
-    "op6_sharding": op6_sharding,
-    "op7_media": op7_media,
-    "op8_secrets": op8_secrets,
-    "op9_licenses": op9_licenses,
-    "op10_decontaminate": op10_decontaminate,
-    "pipeline": pipeline,
-}
+def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return shipped
+
+
+_ALL = (op1_simhash, op2_toxicity, op3_quality, op4_mixing, op5_pii, op6_sharding, op7_media, op8_secrets, op9_licenses, op10_decontaminate, pipeline)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in _ALL}
 
 ORACLES: dict[str, str] = {
     "op8_secrets": secrets.ORACLE,
