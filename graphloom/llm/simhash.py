@@ -33,6 +33,8 @@ SEED = 42
 SHINGLE = 3
 DISTANCE = 3
 CELL = 2048
+#: Into so many parts the rows of a component are dealt where they meet its smallest id.
+PARTS = 64
 #: Reference fingerprints: fixed, near-orthogonal bit patterns.
 PIVOTS = np.array(
     [0x0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF, 0x0000FFFF0000FFFF, 0x00000000FFFFFFFF, 0x6996966996696996],
@@ -202,8 +204,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = materialize(components(links(nodes.select("fp"), distance, cell)), "roots").withColumnRenamed("node", "fp")
     linked = nodes.join(roots, "fp").select("fp", "root", "least")
+    # A component may hold any share of the fingerprints, so its rows are dealt by root and a part of the fingerprint.
+    part = F.pmod(F.xxhash64("fp"), F.lit(PARTS)).alias("part")
     whole = linked.groupBy("root").agg(F.min("least").alias("whole"))
-    of = nodes.join(roots, "fp", "left").join(whole, "root", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
+    whole = whole.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"), "whole")
+    named = linked.select("fp", "root", part).join(whole, ["root", "part"]).select("fp", "whole")
+    of = nodes.join(named, "fp", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
     return prints.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
