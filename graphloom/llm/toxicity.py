@@ -26,7 +26,7 @@ SAMPLE = 12_000
 FEATURES = 40_000_000
 EPOCHS = 6
 BITS = 21
-ALPHA, BETA, L1, L2 = 3.0, 1.0, 3.0, 0.05
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 5.0, 0.05
 SEED = 2
 _PART = 1 << 16
 
