@@ -109,6 +109,7 @@ class Catalog:
     def __init__(self) -> None:
         self.spaces: dict[str, Space] = {}
         self.settings: dict[str, dict] = {}
+        self.jobs: list[dict] = []
         self.next_id = 1
 
     # Spaces
@@ -318,12 +319,12 @@ class Catalog:
     # JSON
 
     def to_json(self) -> str:
-        return json.dumps({"spaces": {k: asdict(v) for k, v in self.spaces.items()}, "settings": self.settings, "next_id": self.next_id})
+        return json.dumps({"spaces": {k: asdict(v) for k, v in self.spaces.items()}, "settings": self.settings, "jobs": self.jobs, "next_id": self.next_id})
 
     @staticmethod
     def from_json(text: str) -> Catalog:
         raw, out = json.loads(text), Catalog()
-        out.settings, out.next_id = raw["settings"], raw["next_id"]
+        out.settings, out.jobs, out.next_id = raw["settings"], raw.get("jobs", []), raw["next_id"]
 
         def index(i: dict) -> Index:
             return Index(**{**i, "fields": tuple(IndexField(**f) for f in i["fields"])})

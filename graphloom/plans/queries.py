@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from graphloom.operators.lookup import Context, Hint, View
 from graphloom.operators.mutate import Update
 from graphloom.operators.traverse import Hop, Stat, Traversal
 from graphloom.plans.datasets import LINE, NOW, TTL, edge, graph, read, tag, vid
+from graphloom.sources.files import shared_dir
+from graphloom.sources.joblog import JobLog
+from graphloom.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -535,6 +539,31 @@ def index_rebuild(spark, d):
     return lookup.covering(graph(spark, d, ("customer",)), "customer", ["c_mktsegment", "c_acctbal"])
 
 
+def _job_log(spark, d):
+    store = Store(spark, f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}/store")
+    store.catalog.create_space("shop", 6, 1, "FIXED_STRING(32)")
+    store.catalog.create("shop", "tag", "customer", [Prop("name", "STRING")])
+    store.catalog.create_index("shop", "by_name", "customer", [IndexField("name", 20)])
+    store.commit()
+    store.insert("shop", "customer", read(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("_vid"), F.col("c_name").alias("name")))
+    log = JobLog(store)
+    for command, *paras in (("STATS",), ("REBUILD_TAG_INDEX", "by_name"), ("REBUILD_EDGE_INDEX", "by_name"), ("COMPACT",), ("FLUSH",)):
+        log.add("shop", command, *paras)
+    log.stop(5)
+    log.run()
+    return log
+
+
+@query("SELECT * FROM (VALUES (1, 'STATS', 'FINISHED'), (2, 'REBUILD_TAG_INDEX', 'FINISHED'), (3, 'REBUILD_EDGE_INDEX', 'FAILED'), (4, 'COMPACT', 'FINISHED'), (5, 'FLUSH', 'STOPPED')) t(id, command, status)")
+def job_queue(spark, d):
+    return _job_log(spark, d).show().select("id", "command", "status")
+
+
+@query("SELECT 'tag' AS kind, 'customer' AS name, count(*) AS count FROM customer UNION ALL SELECT 'space', 'vertices', count(*) FROM customer")
+def job_results(spark, d):
+    return _job_log(spark, d).statistics("shop")
+
+
 # The catalog
 
 

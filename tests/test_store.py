@@ -8,6 +8,7 @@ from graphloom.errors import GraphError
 from graphloom.operators import kv, lookup, mutate
 from graphloom.operators.lookup import Context, Hint
 from graphloom.operators.mutate import Update
+from graphloom.sources.joblog import JobLog
 from graphloom.sources.store import Store
 from graphloom.streaming import feed
 from graphloom.types import PropertyType, coerce
@@ -207,3 +208,26 @@ def test_change_feed(spark, tmp_path):
     assert [r.row for r in now.collect()] == ['{"_vid":"a","name":"New words, new"}']
     entries = now.withColumn("op", F.lit("put"))
     assert sorted(r.token for r in feed.tokens(entries, ["name"]).collect()) == ["new", "words"]
+
+
+def test_job_queue(spark, store):
+    store.insert("g", "player", players(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
+    store.catalog.create_index("g", "by_name", "player", [IndexField("name", 8)])
+    store.commit()
+    log = JobLog(store)
+    with pytest.raises(GraphError, match="STATS_NOT_FOUND"):
+        log.statistics("g")
+    stats = log.add("g", "STATS")
+    assert log.add("g", "STATS") == stats
+    rebuild, wrong, halted = log.add("g", "REBUILD_TAG_INDEX"), log.add("g", "REBUILD_EDGE_INDEX", "by_name"), log.add("g", "COMPACT")
+    log.stop(halted)
+    assert log._set(stats, "RUNNING", ("QUEUE",))  # a runner that was lost
+    assert JobLog(Store(spark, store.root)).recover() == 3
+    assert log.run() == 2
+    assert {r.id: r.status for r in log.show().collect()} == {stats: "FINISHED", rebuild: "FINISHED", wrong: "FAILED", halted: "STOPPED"}
+    assert "INVALID_PARM" in log.show(wrong).first().error
+    assert content(log.statistics("g")) == [("edge", "serve", 0), ("space", "edges", 0), ("space", "vertices", 2), ("tag", "player", 2)]
+    assert store.view("g", "by_name").frame.count() == 2
+    for bad in (lambda: log.stop(halted), lambda: log.add("g", "DANCE"), lambda: log.show(99)):
+        with pytest.raises(GraphError):
+            bad()
