@@ -5,7 +5,8 @@ looked up among known licence sentences. The identifiers found, with a mark for
 and ordered rules over identifiers recognise licences in it: at each place the first rule that fits wins, longer rules
 stand before their own beginnings, and up to GAP unknown sentences may lie between two identifiers of a rule.
 
-Every known sentence contains one of ANCHORS, so a text without any of them cannot hold one and is not cut.
+Every known sentence has a word that contains one of ANCHORS. Words are the same before and after normalisation, so a
+text without any anchor cannot hold a known sentence and is not cut.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import text_of
 
 GAP = 3
-ANCHORS = ("licen", "copyright", "redistribut", "warrant", "permission", "public domain")
+ANCHORS = ("licen", "copyright", "redistribut", "warrant", "permission", "domain", "reserved")
 
 #: Identifier: wordings.
 SENTENCES: dict[str, tuple[str, ...]] = {
@@ -46,7 +47,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "cc0-notice": ("Dedicated to the public domain under CC0 1.0", "This work is in the public domain", "SPDX-License-Identifier: CC0-1.0"),
     "isc-notice": ("Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
     "no-warranty": ("The software is provided as is, without warranty of any kind", "This program comes with absolutely no warranty"),
-    "all-rights": ("Copyright, all rights reserved", "All rights reserved under copyright"),
+    "all-rights": ("All rights reserved", "Copyright, all rights reserved", "All rights reserved under copyright"),
 }
 
 #: Licence and its identifiers, in the order in which they are tried.
@@ -90,7 +91,7 @@ def normalised(sentence: str) -> str:
 
 
 _KNOWN = {normalised(w): _CODES[i] for i, wordings in SENTENCES.items() for w in wordings}
-assert all(any(a in s for a in ANCHORS) for s in _KNOWN)
+assert all(any(a in w for w in s.split() for a in ANCHORS) for s in _KNOWN)
 
 
 def _rule(ids: tuple[str, ...]) -> str:

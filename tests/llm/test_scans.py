@@ -146,6 +146,13 @@ def test_licenses(spark, odd, odd_rows, empty):
     assert licenses.scan(odd).count() == len(odd_rows) and licenses.scan(empty).collect() == []
 
 
+def test_licenses_in_any_spacing(spark):
+    """Sentences without a further anchor, and white space inside one."""
+    rows = [(1, "Words.\nAll rights reserved."), (2, "This work is in the public  domain."), (3, "This work is in the public\tdomain"), (4, "this work is in the public-domain"), (5, "reserved seats")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "proprietary", 2: "CC0-1.0", 3: "CC0-1.0", 4: "CC0-1.0", 5: ""}
+
+
 def brute_contamination(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     hit, found = set(), set()
