@@ -1,7 +1,9 @@
 """License scans by sentence rules, with DataFrame functions only.
 
 A text is cut into sentences, each is normalised (lower case, runs of other than letters and digits become a space) and
-looked up among known licence sentences. The identifiers found, with a mark for each unknown sentence, form a sequence,
+looked up among known licence sentences. A known sentence may run over single line ends, behind comment marks (signs,
+dnl, rem) and a list label of one letter or digit; blank lines and sentence ends always cut, and a line end cuts where
+no known sentence goes on. The identifiers found, with a mark for each unknown sentence, form a sequence,
 and ordered rules over identifiers recognise licences in it: at each place the first rule that fits wins, longer rules
 stand before their own beginnings, and up to GAP unknown sentences may lie between two identifiers of a rule.
 
@@ -20,46 +22,85 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import text_of
 
 GAP = 3
-ANCHORS = ("licen", "copyright", "redistribut", "warrant", "permission", "domain", "reserved")
+ANCHORS = ("licen", "copyright", "redistribut", "warrant", "permission", "domain", "reserved", "cc0")
+
+
+def _gnu(kind: str, tail: str, terms: str = "") -> tuple[str, ...]:
+    """The sentence of a GNU header, whole or from the semicolon on, and with the end that follows a comma."""
+    body = f"you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License{terms} as published by the Free Software Foundation{tail}"
+    return (body, *(f"This {what} is free software: {body}" for what in ("program", "library", "file", "software")))
+
+
+def _later(version: int) -> str:
+    return f"either version {version} of the License, or (at your option) any later version"
+
 
 #: Identifier: wordings.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "mit-title": ("MIT License", "The MIT License", "The MIT License (MIT)"),
     "mit-notice": ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "Distributed under the MIT License", "SPDX-License-Identifier: MIT"),
-    "apache-title": ("Apache License", "Apache License, Version 2.0"),
-    "apache-notice": ("Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"),
-    "gpl2-notice": ("This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Licensed under the GPLv2 license", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
-    "gpl3-notice": ("This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    "gpl-later": ("either version 3 of the License, or (at your option) any later version", "either version 2 of the License, or (at your option) any later version", "or any later version of the License"),
-    "gpl3-later-notice": ("SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU General Public License, version 3 or later"),
-    "lgpl3-notice": ("Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"),
-    "agpl3-notice": ("Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"),
-    "mpl2-notice": ("Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"),
-    "bsd-redistribution": ("Redistribution and use in source and binary forms are permitted",),
-    "bsd-source": ("Redistributions of source code must retain the above copyright notice",),
-    "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice",),
-    "bsd-endorse": ("The names of contributors may not be used without prior written permission",),
+    "mit-grant": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',),
+    "mit-include": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"),
+    "apache-title": ("Apache License", "Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
+    "apache-notice": ("Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License")', 'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License")'),
+    "apache-terms": ("you may not use this file except in compliance with the License",),
+    "gpl2-notice": ("This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Licensed under the GPLv2 license", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only", "GNU General Public License Version 2, June 1991", *_gnu("", "", " version 2"), *_gnu("", "", ", version 2,")),
+    "gpl3-notice": ("This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only", "GNU General Public License Version 3, 29 June 2007", *_gnu("", "", " version 3"), *_gnu("", "", ", version 3,")),
+    "gpl-terms": _gnu("", ""),
+    "lgpl-terms": _gnu("Lesser ", ""),
+    "agpl-terms": _gnu("Affero ", ""),
+    "gpl-later": ("or any later version of the License",),
+    "gpl2-later": (_later(2),),
+    "gpl3-later": (_later(3),),
+    "gpl2-later-notice": ("SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the GNU General Public License, version 2 or later", *_gnu("", ", " + _later(2))),
+    "gpl3-later-notice": ("SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU General Public License, version 3 or later", *_gnu("", ", " + _later(3))),
+    "lgpl3-later-notice": ("SPDX-License-Identifier: LGPL-3.0-or-later", *_gnu("Lesser ", ", " + _later(3))),
+    "agpl3-later-notice": ("SPDX-License-Identifier: AGPL-3.0-or-later", *_gnu("Affero ", ", " + _later(3))),
+    "lgpl3-notice": ("Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    "agpl3-notice": ("Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "GNU Affero General Public License Version 3, 19 November 2007"),
+    "mpl2-notice": ("Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    "bsd-redistribution": ("Redistribution and use in source and binary forms are permitted", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    "bsd-source": ("Redistributions of source code must retain the above copyright notice", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    "bsd-endorse": ("The names of contributors may not be used without prior written permission", *(f"{who} may be used to endorse or promote products derived from this software without specific prior written permission" for who in ("Neither the name of the copyright holder nor the names of its contributors", "Neither the names of the copyright holders nor the names of their contributors", "Neither the name of the University nor the names of its contributors", "Neither the name of the organization nor the names of its contributors", "Neither the name of the author nor the names of its contributors"))),
+    "bsd2-title": ("BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "bsd3-title": ("BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
     "bsd2-notice": ("Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
     "bsd3-notice": ("Licensed under the BSD 3-Clause License", "Released under the BSD License", "SPDX-License-Identifier: BSD-3-Clause"),
-    "cc-by-notice": ("Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"),
-    "cc-by-sa-notice": ("Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
-    "cc-by-nc-notice": ("Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "cc0-notice": ("Dedicated to the public domain under CC0 1.0", "This work is in the public domain", "SPDX-License-Identifier: CC0-1.0"),
+    "cc-by-notice": ("Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under the Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International Public License", "SPDX-License-Identifier: CC-BY-4.0"),
+    "cc-by-sa-notice": ("Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 International Public License", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "cc-by-nc-notice": ("Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "cc0-notice": ("Dedicated to the public domain under CC0 1.0", "This work is in the public domain", "CC0 1.0 Universal", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "SPDX-License-Identifier: CC0-1.0"),
+    "isc-title": ("ISC License", "The ISC License", "ISC License (ISC)"),
     "isc-notice": ("Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
-    "no-warranty": ("The software is provided as is, without warranty of any kind", "This program comes with absolutely no warranty"),
+    "isc-grant": tuple(f"Permission to use, copy, modify, {both} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies" for both in ("and/or", "and")),
+    "no-warranty": ("The software is provided as is, without warranty of any kind", "This program comes with absolutely no warranty", 'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement', *(f'This software is provided by the {who} "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed' for who in ("copyright holders and contributors", "author and contributors", "regents and contributors")), "This program is distributed in the hope that it will be useful, but without any warranty", 'The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness'),
     "all-rights": ("All rights reserved", "Copyright, all rights reserved", "All rights reserved under copyright"),
 }
 
 #: Licence and its identifiers, in the order in which they are tried.
-RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+_BASE: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("BSD-3-Clause", ("bsd3-title", "bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd2-title", "bsd-redistribution", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("BSD-2-Clause", ("bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl3-notice", "gpl-later")),
     ("GPL-2.0-or-later", ("gpl2-notice", "gpl-later")),
+    ("GPL-3.0-or-later", ("gpl3-notice", "gpl3-later")),
+    ("GPL-2.0-or-later", ("gpl2-notice", "gpl2-later")),
+    ("GPL-3.0-or-later", ("gpl-terms", "gpl3-later")),
+    ("GPL-2.0-or-later", ("gpl-terms", "gpl2-later")),
+    ("LGPL-3.0-or-later", ("lgpl-terms", "gpl3-later")),
+    ("AGPL-3.0-or-later", ("agpl-terms", "gpl3-later")),
     ("GPL-3.0-or-later", ("gpl3-later-notice",)),
+    ("GPL-2.0-or-later", ("gpl2-later-notice",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later-notice",)),
+    ("AGPL-3.0-or-later", ("agpl3-later-notice",)),
+    ("MIT", ("mit-title", "mit-grant")),
     ("MIT", ("mit-title", "no-warranty")),
+    ("MIT", ("mit-grant",)),
     ("Apache-2.0", ("apache-title", "apache-notice")),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-title",)),
@@ -72,18 +113,32 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MPL-2.0", ("mpl2-notice",)),
     ("BSD-2-Clause", ("bsd2-notice",)),
     ("BSD-3-Clause", ("bsd3-notice",)),
+    ("BSD-2-Clause", ("bsd2-title",)),
+    ("BSD-3-Clause", ("bsd3-title",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-notice",)),
     ("CC-BY-4.0", ("cc-by-notice",)),
     ("CC0-1.0", ("cc0-notice",)),
     ("ISC", ("isc-notice",)),
-    ("proprietary", ("all-rights",)),
+    ("ISC", ("isc-title", "isc-grant")),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-title",)),
 )
 
+
+def _rights(ids: tuple[str, ...]) -> tuple[tuple[str, ...], ...]:
+    """ids, before them those with all-rights in front or behind a title: it is then part of the licence's notice."""
+    titled = ((ids[0], "all-rights", *ids[1:]),) if ids[0].endswith("-title") and len(ids) > 1 else ()
+    return (*titled, ("all-rights", *ids), ids)
+
+
+RULES: tuple[tuple[str, tuple[str, ...]], ...] = (*((name, v) for name, ids in _BASE for v in _rights(ids)), ("proprietary", ("all-rights",)))
+
 _CUT = "[.;!?]+(?:[\\x20\\x09-\\x0D]+|$)|[\\x0A\\x0D]+"
 _OTHER = "[^a-z0-9]+"
 _CODES = {i: chr((65 if k < 26 else 71) + k) for k, i in enumerate(SENTENCES)}
 _UNKNOWN = "0"
+assert len(_CODES) <= 52
 
 
 def normalised(sentence: str) -> str:
@@ -101,17 +156,28 @@ def _rule(ids: tuple[str, ...]) -> str:
 _ANY_RULE = "|".join(_rule(ids) for _, ids in RULES)
 
 
+#: In a lowered text, S stands for a sentence end and N for a line end.
+_END = "[.;!?]+(?:[\\x20\\x09-\\x0D]+|$)"
+_NEXT = " ?N ?(?:(?:dnl|rem) )?"
+_HEAD = " ?(?:(?:dnl|rem) )?(?:[a-z0-9] )?"
+#: A known sentence, the longest first, or else a line or the rest of one.
+_PIECE = f"{_HEAD}(?:{'|'.join(s.replace(' ', f'(?:{_NEXT}| )') for s in sorted(_KNOWN, key=len, reverse=True))}) ?(?![^SN])|[^SN]+"
+
+
 def _codes() -> Column:
     """The codes of a text's sentences, as a string."""
     known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
 
-    def code(sentence: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.replace(F.lower(sentence), F.lit("licence"), F.lit("license")), _OTHER, " "))
-        return F.when(plain == "", F.lit("")).otherwise(F.coalesce(F.try_element_at(known, plain), F.lit(_UNKNOWN)))
+    def code(piece: Column) -> Column:
+        plain = F.trim(F.regexp_replace(piece, _NEXT, " "))
+        return F.when(plain == "", F.lit("")).otherwise(F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, F.regexp_replace(plain, f"^{_HEAD}", "")), F.lit(_UNKNOWN)))
 
     low = F.lower(F.col("text"))
     anchored = reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in ANCHORS])
-    return F.when(anchored, F.array_join(F.transform(F.split(F.col("text"), _CUT, -1), code), "")).otherwise(F.lit(""))
+    marked = F.replace(low, F.lit("licence"), F.lit("license"))
+    for pattern, sign in (("(?m)^[\\x20\\x09]*;+", " "), (_END, "S"), ("\\x0D\\x0A?|\\x0A", "N"), ("[^a-z0-9SN]+", " ")):
+        marked = F.regexp_replace(marked, pattern, sign)
+    return F.when(anchored, F.array_join(F.transform(F.regexp_extract_all(marked, F.lit(_PIECE), F.lit(0)), code), "")).otherwise(F.lit(""))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -153,6 +153,83 @@ def test_licenses_in_any_spacing(spark):
     assert got == {1: "proprietary", 2: "CC0-1.0", 3: "CC0-1.0", 4: "CC0-1.0", 5: ""}
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_TEXT = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+(c) Neither the name of the copyright holder nor the names of its
+    contributors may be used to endorse or promote products derived from
+    this software without specific prior written permission.
+"""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+"""
+GPL_HEADER = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation{2} either version {3} of the License, or
+(at your option) any later version.
+"""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_standard_license_texts(spark):
+    """Headers and clauses as they stand in files: wrapped, in comments, with list labels."""
+    texts = {
+        "MIT": MIT_TEXT,
+        "BSD-2-Clause": BSD_TEXT,
+        "BSD-3-Clause": BSD_TEXT + ENDORSE,
+        "Apache-2.0": APACHE_HEADER,
+        "GPL-3.0-or-later": GPL_HEADER.format(":", "", ",", 3),
+        "GPL-2.0-or-later": GPL_HEADER.format(";", "", ";", 2),
+        "LGPL-3.0-or-later": GPL_HEADER.format(":", "Lesser ", ",", 3),
+        "AGPL-3.0-or-later": GPL_HEADER.format(":", "Affero ", ",", 3),
+        "MPL-2.0": MPL_HEADER,
+        "ISC": ISC_TEXT,
+    }
+    marks = ["", "# ", " * ", "// ", ";; ", "dnl ", "REM "]
+    rows = [(f"{name}{m}", "".join(f"{m}{line}\n" for line in t.splitlines())) for name, t in texts.items() for m in marks]
+    rows += [(f"{name}crlf", t.replace("\n", "\r\n")) for name, t in texts.items()]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: next(n for n in texts if k.startswith(n)) for k, _ in rows}
+
+
+def test_license_lines_still_end(spark):
+    rows = [(1, "A heading\nMIT License\nCopyright (c) 2020 Some One\nmore"), (2, "MIT License\nAll rights reserved"), (3, "Licensed under the\n\nISC License"), (4, "Licensed under the\nISC License"), (5, "All rights reserved. Words.\nLicensed under CC BY 4.0")]
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit-title", 2: "mit-title,all-rights", 3: "isc-title", 4: "isc-notice", 5: "all-rights,cc-by-notice"}
+
+
 def brute_contamination(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     hit, found = set(), set()
