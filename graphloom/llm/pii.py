@@ -125,6 +125,14 @@ _BARE = re.compile(rf"(?i)(?<=[a-z0-9_%+-])(?:@| {{1,3}}{_AT} {{1,3}}| {{1,3}}@
 _BARE_AT = re.compile(rf"(?i)^(?: *@ *| +{_AT} +)")
 _BARE_DOT = re.compile(rf"(?i) +{_DOT} +")
 _DOT_HINT = re.compile(rf"(?i) {_DOT} ")
+#: Labels of a local part up to an at; before an at that is no disguise, only the word dot joins them.
+_LABEL = "[a-z0-9._%+-]{1,64}+"
+_LOCAL_DOTS, _LOCAL_DOTS_PLAIN = (re.compile(rf"(?i)(?<![a-z0-9._%+-]){_LABEL}(?:(?<=[a-z0-9_%+-]) {{1,3}}{d} {{1,3}}{_LABEL}){{1,8}}$") for d in (_DOT, "dot"))
+_LOCAL_REACH = 700
+#: Four numbers of an address, in figures or spelled digit by digit, with a dot in words.
+_NUMBER = rf"(?:[0-9]{{1,3}}+|(?:{_WORD})(?:[ -](?:{_WORD})){{0,2}})"
+_QUAD = re.compile(rf"(?i)(?<![\w.]){_NUMBER}(?:(?:\.| {{1,3}}{_DOT} {{1,3}}){_NUMBER}){{3}}(?!\w)")
+_QUAD_PART = re.compile(rf"(?i) +{_DOT} +|{_WORD}|[ -]")
 
 
 class Mapped:
@@ -166,17 +174,32 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 def _bare(text: str) -> list[tuple[int, int, str]]:
     """Disguises in words: a bare at counts only with a bare dot, so that "look at example.com" is left alone."""
-    edits = []
+    edits, last = [], 0
     for m in _BARE.finditer(text):
         at, dots = _BARE_AT.match(m.group()), list(_BARE_DOT.finditer(m.group()))
         if "@" not in at.group() and not dots:
             continue
+        before = (_LOCAL_DOTS_PLAIN if at.group() == "@" and not dots else _LOCAL_DOTS).search(text, max(last, m.start() - _LOCAL_REACH), m.start())
+        if before:
+            edits += [(before.start() + d.start(), before.start() + d.end(), ".") for d in _BARE_DOT.finditer(before.group())]
+        last = m.end()
         if at.group() != "@":
             edits.append((m.start(), m.start() + at.end(), "@"))
         edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in dots if d.start() >= at.end()]
     return edits
 
 
+def _quads(text: str) -> list[tuple[int, int, str]]:
+    """Addresses of four numbers with a dot in words."""
+    edits = []
+    for m in _QUAD.finditer(text):
+        if _BARE_DOT.search(m.group()):
+            for part in _QUAD_PART.finditer(m.group()):
+                s = part.group().lower()
+                edits.append((m.start() + part.start(), m.start() + part.end(), _SPELLED.get(s, "." if s.strip(" -") else "")))
+    return edits
+
+
 def deobfuscate(text: str, raw: bytes, digits: int) -> Mapped | None:
     """The rewritten text, or None if nothing in it looks disguised."""
     plain, mapped = text, None
@@ -196,7 +219,9 @@ def deobfuscate(text: str, raw: bytes, digits: int) -> Mapped | None:
         rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(plain)])
     if any(c in plain for c in "[({<") and _MARK_HINT.search(plain):
         rewrite([(m.start(), m.end(), "@" if _IS_AT.search(m.group()) else ".") for m in _MARK.finditer(plain)])
-    if "@" in plain or _DOT_HINT.search(plain):
+    if dotted := _DOT_HINT.search(plain):
+        rewrite(_quads(plain))
+    if dotted or "@" in plain:
         rewrite(_bare(plain))
     return mapped
 

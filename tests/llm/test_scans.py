@@ -70,6 +70,35 @@ def test_prose_is_left_alone(text):
     assert not any(v for found in pii.find(text) for v in found.values())
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("mail john dot smith at example dot com now", "email", "john dot smith at example dot com"),
+        ("mail j dot r dot smith @ example.com now", "email", "j dot r dot smith @ example.com"),
+        ("mail john dot smith (at) example (dot) com now", "email", "john dot smith (at) example (dot) com"),
+        ("mail john dot smith@example.com now", "email", "john dot smith@example.com"),
+        ("host 192 dot 168 dot 0 dot 1 is", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host 192.168 dot 0.1 is", "ip", "192.168 dot 0.1"),
+        ("host one nine two dot one six eight dot zero dot one is", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("host ten dot eins punkt zwei punkt drei punkt vier.", "ip", "eins punkt zwei punkt drei punkt vier"),
+    ],
+)
+def test_bare_dots(spark, text, kind, span):
+    _, more = pii.find(text)
+    assert [text[a:b] for a, b in more[kind]] == [span]
+    assert [r.text for r in pii.redact(spark.createDataFrame([(text,)], "text string")).collect()] == [text.replace(span, f"<{kind}>")]
+
+
+@pytest.mark.parametrize("text", ["rated 3 dot 5 dot 1 in all", "300 dot 1 dot 2 dot 3", "one dot two", "1.2.3. dot 4"])
+def test_other_dots_are_left_alone(text):
+    assert not any(v for found in pii.find(text) for v in found.values())
+
+
+def test_plain_address_after_a_point():
+    text = "to this point joe@example.com"
+    assert pii.find(text)[0]["email"] == [(14, 29)] and not pii.find(text)[1]["email"]
+
+
 def test_pii_rows(odd, odd_rows, empty, spark):
     got = {(r.doc_id, r.n_email, r.base_sha256) for r in pii.scan(odd).collect()}
     none = hashlib.sha256(b"").hexdigest()
