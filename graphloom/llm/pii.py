@@ -115,13 +115,37 @@ _DIGIT_WORD = re.compile(rf"(?i)(?<!\w)(?:{_WORD})(?!\w)")
 _PLUS = re.compile(r"(?i)(?<!\w)plus (?=[0-9])")
 _DOT = "(?:dot|punkt|punto|point)"
 _AT = "(?:at|arobase|arroba)"
-#: Last labels that make a bare "dot" part of an address rather than prose.
+#: Last labels that make an address of a form that is also prose: "look at this point in", "@name.surname".
 _TOP = "(?:com|org|net|edu|gov|info|biz|io|co|us|uk|eu|de|fr|es|it|nl|ch|at|be|ru|jp|cn|br|in|dev|app|example|test|invalid)"
 _MARK = re.compile(rf"(?i) {{0,3}}[\[({{<] {{0,3}}(?:{_AT}|{_DOT}|@|\.) {{0,3}}[\])}}>] {{0,3}}")
 _MARK_HINT = re.compile(rf"(?i)[\[({{<] {{0,3}}(?:{_AT}|{_DOT}|@|\.) {{0,3}}[\])}}>]")
 _IS_AT = re.compile(rf"(?i){_AT}|@")
-#: name at label dot label ... dot top, of which any may already be a sign.
-_BARE = re.compile(rf"(?i)(?<=[a-z0-9_%+-])(?:@| {{1,3}}{_AT} {{1,3}}| {{1,3}}@ {{0,3}}|@ {{1,3}})[a-z0-9-]{{1,63}}+(?:(?:\.| {{1,3}}{_DOT} {{1,3}})[a-z0-9-]{{1,63}}+){{0,8}}(?:\.| {{1,3}}{_DOT} {{1,3}}){_TOP}(?![a-z0-9-])")
+#: Any other last label, but for words that go on a sentence: "is at home dot then".
+_PROSE = "then|the|and|but|or|if|that|this|these|those|there|they|we|he|she|you|when|where|which|who|what|with|from|for|of|on|not|now|also|so|und|oder|aber|dann|der|die|das|wir|sie|er|mit|nicht|auch|y|pero|entonces|el|la|los|las|con|et|ou|mais|puis|le|les|avec"
+_ANY = f"(?!(?:{_PROSE})(?![a-z0-9-]))(?:[a-z]{{2,63}}|xn--[a-z0-9-]{{1,59}})"
+
+
+def _form(at: str, dot: str, end: str) -> str:
+    """At, label dot label ... and the end, of which any dot may already be a sign."""
+    return rf"{at}[a-z0-9-]{{1,63}}+(?:(?:\.| {{1,3}}{dot} {{1,3}})[a-z0-9-]{{1,63}}+){{0,8}}{end}(?![a-z0-9-])"
+
+
+def _word(*forms: str) -> str:
+    return rf" {{1,3}}(?:{'|'.join(forms)}) {{1,3}}"
+
+
+_SEP = rf"(?:\.|{_word(_DOT)})"
+#: name at label dot label ... dot top. Any top goes with a real @ and with an at and a dot in words of one language.
+_REAL = "(?:@| {1,3}@ {1,3}|@ {1,3})"
+_FORMS = tuple(re.compile(f"(?i){f}") for f in (
+    _form(_REAL, "dot", rf"(?:\.|{_word('dot')}){_ANY}"),
+    rf"(?:{_REAL}| {{1,3}}@)[a-z0-9-]{{1,63}}+(?:{_word(_DOT)}[a-z0-9-]{{1,63}}+){{0,8}}{_word(_DOT)}{_ANY}(?![a-z0-9-])",
+    _form(_word("at"), "(?:dot|punkt)", rf"(?:\.|{_word('dot', 'punkt')}){_ANY}"),
+    _form(_word("arobase"), "(?:dot|point)", rf"(?:\.|{_word('dot', 'point')}){_ANY}"),
+    _form(_word("arroba"), "(?:dot|punto)", rf"(?:\.|{_word('dot', 'punto')}){_ANY}"),
+    _form(rf"(?:{_word(_AT)}|{_REAL}| {{1,3}}@)", _DOT, _SEP + _TOP),
+))
+_BARE = re.compile(rf"(?i)(?<=[a-z0-9_%+-])(?=@| {{1,3}}(?:{_AT}|@))")
 _BARE_AT = re.compile(rf"(?i)^(?: *@ *| +{_AT} +)")
 _BARE_DOT = re.compile(rf"(?i) +{_DOT} +")
 _DOT_HINT = re.compile(rf"(?i) {_DOT} ")
@@ -175,7 +199,11 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 def _bare(text: str) -> list[tuple[int, int, str]]:
     """Disguises in words: a bare at counts only with a bare dot, so that "look at example.com" is left alone."""
     edits, last = [], 0
-    for m in _BARE.finditer(text):
+    for start in _BARE.finditer(text):
+        fits = [m for f in _FORMS if start.start() >= last and (m := f.match(text, start.start()))]
+        if not fits:
+            continue
+        m = max(fits, key=re.Match.end)
         at, dots = _BARE_AT.match(m.group()), list(_BARE_DOT.finditer(m.group()))
         if "@" not in at.group() and not dots:
             continue

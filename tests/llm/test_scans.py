@@ -89,13 +89,27 @@ def test_bare_dots(spark, text, kind, span):
     assert [r.text for r in pii.redact(spark.createDataFrame([(text,)], "text string")).collect()] == [text.replace(span, f"<{kind}>")]
 
 
+@pytest.mark.parametrize(
+    "span",
+    ["anna at firma dot pl", "anna @ firma.pl", "anna at firma dot ca", "x at y dot com dot au", "anna@firma dot xyz", "anna @firma dot ai", "anna at firma punkt museum", "ana arroba firma punto mx", "anne arobase firme point quebec", "anna at firma dot xn--p1ai", "john @mail.com", "x at y punto com", "anna@firma punkt pl", "x at y dot com punto es"],
+)
+def test_any_last_label(span):
+    for text, end in ((f"mail {span}, please", ""), (f"mail {span} dot then we", "")):
+        assert [text[a:b] for a, b in pii.find(text)[1]["email"]] == [span + end]
+
+
+@pytest.mark.parametrize("text", ["Thanks @john.smith for this", "they are at that point where", "at one point during the day", "look at firma.pl", "they stood at noon dot and left"])
+def test_ambiguous_forms_keep_the_list(text):
+    assert not any(v for found in pii.find(text) for v in found.values())
+
+
 @pytest.mark.parametrize("text", ["rated 3 dot 5 dot 1 in all", "300 dot 1 dot 2 dot 3", "one dot two", "1.2.3. dot 4"])
 def test_other_dots_are_left_alone(text):
     assert not any(v for found in pii.find(text) for v in found.values())
 
 
 def test_plain_address_after_a_point():
-    text = "to this point joe@example.com"
+    text = "to this point joe@example.com punto final"
     assert pii.find(text)[0]["email"] == [(14, 29)] and not pii.find(text)[1]["email"]
 
 
