@@ -213,12 +213,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, cell: int = CELL, null_ids_stay: bool = True) -> DataFrame:
     """docs with one row of each group kept: the one whose id is the group's smallest; all columns are returned.
 
-    Of several rows with that id one is kept. Rows with a null id cannot be named by the decision and all stay.
+    Rows are told apart by id and text, so an id that stands in several groups keeps a row in each. Of several texts
+    with the smallest id the one with the smallest hash is kept, of rows that share both, any one. Rows with a null id
+    all stay, unless null_ids_stay is false: they then come last in their group, and a group of them keeps one.
     """
-    ids = near_duplicates(docs, id_col, text_col, **options)
-    kept = ids.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    name, text = F.col(f"`{id_col}`"), text_of(f"`{text_col}`")
+    hashes = [F.xxhash64(F.lit(seed), name.isNull(), name, text).alias(k) for seed, k in ((SEED, "a"), (SEED + 1, "b"))]
+    keys = docs.select(F.struct(name.isNull().alias("unnamed"), name.alias("id"), *hashes).alias("key"), text.alias("text"))
+    prints = materialize(fingerprints(keys, "key", "text", shingle), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
+    roots = materialize(components(links(nodes.select("fp"), distance, cell)), "roots").withColumnRenamed("node", "fp")
+    first = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    kept = first.select("least.a", "least.b")
+    rows = docs.where(name.isNotNull()) if null_ids_stay else docs
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *hashes)
+    named = rows.join(kept, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select("row.*")
+    return named.union(docs.where(name.isNull())) if null_ids_stay else named

@@ -71,6 +71,19 @@ def test_deduplicate(spark, odd, odd_rows):
     assert sorted(i for i in ids if i is not None) == sorted(expected) and ids.count(None) == 3
 
 
+def test_one_row_of_each_group(spark):
+    """Repeated ids over several groups, and null ids."""
+    rnd = random.Random(8)
+    texts = {k: " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") * 3 + str(rnd.randrange(99)) for _ in range(50)) for k in "pqrst"}
+    rows = [(5, "p"), (5, "q"), (5, "q"), (9, "q"), (2, "r"), (5, "r"), (None, "p"), (None, "s"), (None, "s"), (7, "t"), (None, "t")]
+    docs = spark.createDataFrame([(k, texts[t], t) for k, t in rows], "doc_id long, text string, a string")
+    got = simhash.deduplicate(docs, null_ids_stay=False)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.a) for r in got.collect()), key=str) == [(2, "r"), (5, "p"), (5, "q"), (7, "t"), (None, "s")]
+    named = [(r.doc_id, r.a) for r in simhash.deduplicate(docs).collect()]
+    assert sorted((k for k in named if k[0] is not None)) == [(2, "r"), (5, "p"), (5, "q"), (7, "t")] and len(named) == 8
+
+
 def test_empty(empty):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.deduplicate(empty).collect() == []
 
