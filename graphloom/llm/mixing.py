@@ -153,7 +153,11 @@ def copies() -> Column:
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """One row for each row of docs: id_col, source, n_tokens, weight of the source, copies (how often the row is used).
+    """One row for each row of docs: id_col, source, n_tokens, weight of the source, copies (how often the row is used),
+    block_rank and place.
+
+    Copy k belongs to pass k over the source, from 1 on. Every pass takes the source's blocks by block_rank and the rows
+    of a block by place; 0 and the hash for a source without tokens.
 
     Null and empty texts have no tokens; a source without any keeps each row once, at weight 0. Null sources are one
     source. Equal rows (id and text) share a hash and are used alike, so that ties can exceed a quota by their size.
@@ -161,13 +165,22 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """
     light, by = plan(docs, id_col=id_col, source_col=source_col, **options)
     rows = _join(light, by, ["weight", "blocks", "a", "c", "passes", "cut", "last"], "left")
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), copies().alias("copies"))
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), copies().alias("copies"), *order())
+
+
+def order() -> list[Column]:
+    """Where a row stands in each pass: its block's rank, and its place in the block."""
+    return [F.coalesce(_rank(), F.lit(0).cast("long")).alias("block_rank"), F.col("h").alias("place")]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """docs with each row as often as the mixture uses it; the columns stay."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, ordered: bool = False, **options) -> DataFrame:
+    """docs with each row as often as the mixture uses it; the columns stay.
+
+    ordered adds pass, block_rank and place, by which a source's copies come in the order of the method.
+    """
     _, by = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(source_col).alias("source"), row_hash(id_col, text_col, seed).alias("h"))
-    used = _join(rows, by, ["weight", "blocks", "a", "c", "passes", "cut", "last"], "left").select("row", copies().alias("copies"))
-    return used.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    used = _join(rows, by, ["weight", "blocks", "a", "c", "passes", "cut", "last"], "left").select("row", copies().alias("copies"), *order())
+    used = used.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("pass"), "block_rank", "place")
+    return used.select("row.*", *(["pass", "block_rank", "place"] if ordered else []))

@@ -52,6 +52,24 @@ def test_mix_repeats_rows(docs):
     assert got == Counter(plan) and mixing.mix(docs, max_repeats=2.0).columns == docs.columns
 
 
+def test_order_of_the_passes(docs):
+    """Blocks by rank, and a partial pass that is a beginning of a whole one."""
+    rows = mixing.mixture(docs, max_repeats=2.0, block_tokens=100).collect()
+    plan = {r.doc_id: r for r in rows}
+    copies = mixing.mix(docs, max_repeats=2.0, block_tokens=100, ordered=True).collect()
+    assert sorted((r.doc_id, r["pass"], r.block_rank, r.place) for r in copies) == sorted((r.doc_id, k, r.block_rank, r.place) for r in rows for k in range(1, r.copies + 1))
+    parts = 0
+    for source in {r.source for r in rows}:
+        passes = defaultdict(list)
+        for r in sorted((r for r in copies if r.source == source), key=lambda r: (r["pass"], r.block_rank, r.place)):
+            passes[r["pass"]].append(r.doc_id)
+        for ids in passes.values():
+            assert ids == passes[1][: len(ids)]
+            parts += len(ids) < len(passes[1])
+        assert len({plan[i].block_rank for i in passes[1]}) > 1
+    assert parts
+
+
 def test_mixing_odd_rows(odd, odd_rows, empty):
     rows = mixing.mixture(odd, max_repeats=3.0).collect()
     assert len(rows) == len(odd_rows) and all(r.copies >= 1 for r in rows)
