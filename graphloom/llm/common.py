@@ -11,7 +11,7 @@ from pathlib import Path
 from zipfile import ZipFile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -44,27 +44,68 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (as in tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it back.
 
-    Cuts the lineage: a lost executor costs a reread of files that all executors see.
+    Cuts the lineage: a lost executor costs a reread of files that all executors see. The table stays until discard()
+    or clear(), since what is made from it is computed later.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}/{name}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() returned and that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        own = tables_dir(spark).rsplit("/", 1)[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if folder.split("/")[-2] == own:
+                _delete(spark, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that have not been written by then are lost."""
+    _delete(spark, tables_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def prefix_sums(counts: DataFrame, key: str, value: str, width: int = 4096) -> DataFrame:
+    """counts (key: numbers from 0, once each) with `before`, the sum of `value` over smaller keys, in two levels.
+
+    Runs of `width` keys are summed first, so that no task orders more than `width` keys or one row for each run.
+    """
+    run = F.floor(F.col(key) / width).cast("long").alias("_run")
+    rows = counts.select(run, key, value)
+    tops = rows.groupBy("_run").agg(F.sum(value).alias("_sum"))
+    ahead = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_run", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    within = Window.partitionBy("_run").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return rows.join(tops, "_run").select(key, value, (F.col("_ahead") + F.col("_within")).alias("before"))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the bytes of an Arrow batch, so that very long texts do not pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -10,16 +10,17 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import annotate, bounded_batches, text_of
+from graphloom.llm.common import annotate, materialize, text_of
 
 WINDOW = 13
-#: Benchmark text that one search holds; a larger benchmark is searched in several such blocks, one after the other.
+#: Benchmark text that one search broadcasts; a larger benchmark is searched in several such blocks, a pass for each.
 #: The tables take some 80 bytes for each byte of text, so a Python worker needs about a third of a GB at most.
 BLOCK_BYTES = 4 << 20
 
@@ -78,57 +79,93 @@ def matchers(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[Match
     return [Matcher(m, windows) for m, windows in sorted(by.items())]
 
 
+def merged(found: list[Match]) -> list[int]:
+    """The occurrences as disjoint runs of words: first, end, first, end, ..."""
+    out: list[int] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += (a, b)
+    return out
+
+
 def covered(found: list[Match]) -> int:
     """How many words lie in any of the occurrences."""
-    total = upto = 0
-    for a, b in sorted(found):
-        total += max(0, b - max(a, upto))
-        upto = max(upto, b)
-    return total
+    runs = merged(found)
+    return sum(runs[1::2]) - sum(runs[::2])
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items, in blocks of about `most` bytes; the driver holds one at a time."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> tuple[int, Callable[[int], list[tuple[str, bytes]]]]:
+    """How many blocks of about `most` bytes the items make, and a function that fetches one of them to the driver."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), text_of(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // most) or 1
-    share = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    for k in range(n):
-        yield [(r.item, r.text.encode()) for r in share.where(F.col("block") == k).collect()]
+    if n > 1:
+        rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartitionByRange("block"), "benchmark")
+    return n, lambda k: [(r.item, r.text.encode()) for r in (rows.where(F.col("block") == k) if n > 1 else rows).collect()]
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
-    """keep and n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+def _summed(found: list[Match], items: set[str]) -> tuple[int, int, str]:
+    return covered(found), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def _searched(docs: DataFrame, keep: list[str], text_col: str, block: list[tuple[str, bytes]], window: int, listed: bool) -> DataFrame:
+    """keep and what one block of items shows of each row: n_words, n_hit, n_items, items_sha256, or, if listed, n_words, found, items."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # `most` bytes of text, whatever the benchmark's size
 
     def make() -> Callable[[list[bytes]], list[pa.Array]]:
-        whole = [matchers(shared[0].value, window)] if len(shared) == 1 else None
+        group = matchers(shared.value, window)
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
-            words = [words_of(raw) for raw in texts]
-            found: list[list[Match]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            for group in whole or (matchers(b.value, window) for b in shared):
-                for k, w in enumerate(words):
-                    for matcher in group:
-                        f, i = matcher.find(w)
-                        found[k] += f
-                        items[k] |= i
-            n_words = [len(w) for w in words]
-            n_hit = [covered(f) for f in found]
-            return [
-                pa.array(n_words, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array([len(i) for i in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items], pa.string()),
-                pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
-            ]
+            n_words, found, items = [], [], []
+            for raw in texts:
+                words, f, i = words_of(raw), [], set()
+                for matcher in group:
+                    more, names = matcher.find(words)
+                    f += more
+                    i |= names
+                n_words.append(len(words))
+                found.append(f)
+                items.append(i)
+            out = [pa.array(n_words, pa.int64())]
+            if listed:
+                return [*out, pa.array([merged(f) for f in found], pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+            sums = [_summed(f, i) for f, i in zip(found, items, strict=True)]
+            return [*out, *(pa.array([s[k] for s in sums], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))]
 
         return compute
 
-    bounded_batches(spark)
-    return annotate(docs, text_col, keep, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", make)
+    return annotate(docs, text_col, keep, "n_words long, found array<long>, items array<string>" if listed else "n_words long, n_hit long, n_items long, items_sha256 string", make)
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """keep and n_words, n_hit, n_items, items_sha256 of every row, under names of their own: c0, c1, ... and w, h, i, s."""
+    n, block = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    names = [f"c{k}" for k in range(len(keep))]
+    if n == 1:
+        return _searched(docs, keep, text_col, block(0), window, False).toDF(*names, "w", "h", "i", "s")
+    # Each further block is a pass of its own over the texts. Hits, which are few, are kept by two hashes of the text.
+    hashes = [F.xxhash64(F.lit(seed), text_of(f"`{text_col}`")) for seed in (10, 11)]
+    texts = docs.select(*[h.alias(k) for h, k in zip(hashes, "ab", strict=True)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    passes = []
+    for k in range(n):
+        hits = _searched(texts, ["a", "b"], "text", block(k), window, True).where("size(found) > 0").drop("n_words").dropDuplicates(["a", "b"])
+        passes.append(materialize(hits, f"hits{k}"))
+    hits = reduce(lambda a, b: a.union(b), passes).groupBy("a", "b").agg(F.flatten(F.collect_list("found")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = hits.select("a", "b", _union_length("found").alias("h"), F.size("items").cast("long").alias("i"), F.sha2(F.array_join("items", ","), 256).alias("s"))
+    hits = materialize(hits, "hits")
+    count = annotate(docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], *[h.alias(f"k{x}") for h, x in zip(hashes, "ab", strict=True)], F.col(f"`{text_col}`").cast("string").alias("t0")), "t0", [*names, "ka", "kb"], "w long", lambda: lambda ts: [pa.array([len(words_of(t)) for t in ts], pa.int64())])
+    rows = count.join(hits, (F.col("ka") == F.col("a")) & (F.col("kb") == F.col("b")), "left")
+    return rows.select(*names, "w", F.coalesce("h", F.lit(0).cast("long")).alias("h"), F.coalesce("i", F.lit(0).cast("long")).alias("i"), F.coalesce("s", F.sha2(F.lit(""), 256)).alias("s"))
+
+
+def _union_length(ranges: str) -> Column:
+    """The length of the union of ranges that stand as first, end, first, end, ... in an array."""
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.expr(f"size({ranges}) div 2 - 1").cast("int")), lambda k: F.struct(F.get(F.col(ranges), 2 * k).alias("a"), F.get(F.col(ranges), 2 * k + 1).alias("b"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    step = lambda s, p: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), p["b"] - F.greatest(p["a"], s["upto"]))).alias("n"), F.greatest(s["upto"], p["b"]).alias("upto"))
+    return F.aggregate(pairs, zero, step, lambda s: s["n"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -137,16 +174,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A word inside any occurrence of a window is hit; a text is contaminated if a word is hit and at least a twentieth
     of its words are. Null and empty texts have no words and are clean, as is every text if the benchmark is empty or
     null. Items with the same id count once; a null item id counts as the empty id. Null ids of documents and repeated
-    rows stay as they are. The documents are scanned once and nothing is shuffled; a benchmark of more than block_bytes
-    is searched block by block for each batch.
+    rows stay as they are; other columns are ignored. The documents are scanned once and nothing is shuffled; a
+    benchmark of more than block_bytes takes a scan for each block, and one join of all rows, without their texts, to
+    those with hits.
     """
-    return _search(docs, benchmark, [id_col], text_col, item_col, item_text_col, window, block_bytes)
+    found = _search(docs, benchmark, [id_col], text_col, item_col, item_text_col, window, block_bytes)
+    bad = (F.col("h") > 0) & (20 * F.col("h") >= F.col("w"))
+    return found.withColumn("bad", bad).toDF(id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the contaminated rows, with their columns."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, min_share: float = 0.0) -> DataFrame:
+    """docs, with their columns, without the rows that hold a window of the benchmark.
+
+    min_share: what share of a row's words must be hit for it to go; by default any hit is enough, however long the
+    text. A benchmark of several blocks moves the rows once, to join them to the hits. Null and empty texts stay, as do all rows if the benchmark is empty. Rows are judged one by one, so null ids,
+    ties and repeated rows need no rule of their own.
+    """
     found = _search(docs, benchmark, docs.columns, text_col, item_col, item_text_col, window, block_bytes)
-    return found.toDF(*[f"c{k}" for k in range(len(docs.columns))], "w", "h", "i", "s", "bad").where("not bad").drop("w", "h", "i", "s", "bad").toDF(*docs.columns)
+    clean = (F.col("h") == 0) | (F.col("h") < F.lit(min_share) * F.col("w"))
+    return found.where(clean).drop("w", "h", "i", "s").toDF(*docs.columns)
 
 
 ORACLE = """

@@ -24,7 +24,7 @@ def test_run(spark):
     good = {r.doc_id for r in quality.score(docs, labels).collect() if r.predicted}
     kept = docs.where(docs.doc_id.isin(sorted(good)))
     first = {r.doc_id for r in simhash.near_duplicates(kept).collect() if r.doc_id == r.component_id}
-    bad = {r.doc_id for r in decontaminate.contamination(docs, bench).collect() if r.contaminated}
+    bad = {r.doc_id for r in decontaminate.contamination(docs, bench).collect() if r.n_hit}
     rows = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in rows} == first - bad
     assert len({(r.shard, r.slot) for r in rows}) == len(rows)

@@ -287,7 +287,7 @@ def brute_contamination(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 150])
 def test_contamination(spark, block):
     rnd = random.Random(4)
     say = lambda n: " ".join(rnd.choice(["a", "b", "Ça", "c3"]) for _ in range(n))
@@ -304,3 +304,19 @@ def test_decontaminate_rows(spark, odd, odd_rows, empty):
     assert left.columns == odd.columns and left.count() == len(odd_rows) - 1
     assert decontaminate.decontaminate(odd, bench.limit(0)).count() == len(odd_rows)
     assert decontaminate.decontaminate(empty, bench).collect() == []
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 120])
+def test_a_diluted_passage_goes(spark, block):
+    """One window in a very long text is below a twentieth of it, but no stage may keep it."""
+    rnd = random.Random(9)
+    say = lambda n: " ".join(f"w{rnd.randrange(500)}" for _ in range(n))
+    items = [(k, say(20)) for k in range(4)]
+    window = " ".join(items[2][1].split()[4:17])
+    rows = [(1, f"{say(3000)} {window} {say(3000)}"), (2, say(3000)), (3, window), (4, " ".join(window.split()[:12])), (5, None), (None, f"{say(40)} {window}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    left = lambda **o: {r.doc_id for r in decontaminate.decontaminate(docs, bench, block_bytes=block, **o).collect()}
+    assert left() == {2, 4, 5}
+    assert left(min_share=0.05) == {1, 2, 4, 5}
+    flags = {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, bench, block_bytes=block).collect()}
+    assert flags[1] == (13, False) and flags[3] == (13, True)
