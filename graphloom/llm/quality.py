@@ -12,7 +12,7 @@ where the second term falls below zero its gradient is reversed, as the non-nega
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import annotate, fold
-from graphloom.llm.sampling import bounded, labelled
+from graphloom.llm.sampling import bounded, labelled, texts_of
 
 #: Rows of each kind (trusted positives, unlabelled) that the fit reads at most.
 SAMPLE = 12_000
@@ -134,7 +134,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Mo
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """A model fitted to at most `sample` positives and `sample` unlabelled rows; None if there are no positives or texts.
+    """A model fitted in one task to at most `sample` positives and `sample` unlabelled rows; None if there are none of either.
 
     training(id column) says which rows may be learnt from, for labels and unlabelled texts alike.
     """
@@ -142,14 +142,24 @@ def train(docs: DataFrame, labels: DataFrame, training: Callable[[Column], Colum
     share = known.agg(F.avg("label")).first()[0]
     trusted = bounded(known.where("label = 1"), id_col, sample, SEED).select(id_col, F.lit(1).alias("kind"))
     web = bounded(docs.where(training(F.col(id_col)) & F.col(id_col).isNotNull()).select(id_col), id_col, sample, SEED + 1).select(id_col, F.lit(0).alias("kind"))
-    chosen = trusted.union(web.distinct())  # at most twice `sample` ids
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    rows = annotate(texts, text_col, [id_col, "kind"], "x array<double>", lambda: lambda batch: [pa.array(list(_arrays(batch)), pa.list_(pa.float64()))])
-    found = rows.orderBy(F.xxhash64(F.lit(SEED), F.col(id_col)), id_col, "kind", "x").limit(3 * sample).collect()  # ids may repeat
-    positive, unlabelled = (np.array([r.x for r in found if r.kind == k]).reshape(-1, N_FEATURES) for k in (1, 0))
-    if not len(positive) or not len(unlabelled):
-        return None
-    return fit(positive, unlabelled, None if share in (None, 1.0) else float(np.clip(share, 0.05, 0.95)))
+    texts = texts_of(docs, trusted.union(web.distinct()), id_col, text_col)  # at most twice `sample` ids
+    rows = annotate(texts, "text", [id_col, "kind"], "x array<double>", lambda: lambda batch: [pa.array(list(_arrays(batch)), pa.list_(pa.float64()))])
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(SEED), F.col(id_col)), id_col, "kind").select("kind", "x")
+    prior = None if share in (None, 1.0) else float(np.clip(share, 0.05, 0.95))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(-1, N_FEATURES)
+            for kind, part in seen.items():
+                part.append(x[batch.column(0).to_numpy() == kind])
+        unlabelled, positive = (np.vstack([*part, np.empty((0, N_FEATURES))]) for part in seen.values())
+        if len(positive) and len(unlabelled):
+            m = fit(positive, unlabelled, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (m.mean, m.scale, m.weight, m.bias, m.prior)], ["mean", "scale", "weight", "bias", "prior"])
+
+    found = ordered.mapInArrow(fitted, "mean array<double>, scale array<double>, weight array<double>, bias double, prior double").collect()
+    return Model(*(np.array(v) for v in found[0][:3]), *found[0][3:]) if found else None
 
 
 def scorer(model: Model | None) -> Callable[[], Callable[[list[bytes]], list[pa.Array]]]:
@@ -172,7 +182,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with their columns, that score 0.5 or more."""
+    """The rows of docs, with their columns, that score 0.5 or more.
+
+    Null and empty texts are judged as empty ones, null ids and repeated rows like any others; with nothing to learn
+    from every row stays. An empty table gives an empty result.
+    """
     model = train(docs, labels, training_fold, id_col, text_col, label_col, sample)
     rows = annotate(docs, text_col, docs.columns, "score double", scorer(model))
     names = [f"c{k}" for k in range(len(docs.columns))]

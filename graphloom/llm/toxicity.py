@@ -2,7 +2,8 @@
 
 A text's features are the distinct hashes of its words, its pairs of adjacent words and its pairs with one word
 between. The fit is online, with a learning rate of its own for each coordinate and an L1 term that leaves most weights
-at exactly zero, so the model is a short list of (index, weight).
+at exactly zero, so the model is a short list of (index, weight). One task follows the sampled rows as a stream, as
+often as there are epochs, and holds two numbers for each coordinate, whatever the length of the texts.
 """
 
 from __future__ import annotations
@@ -10,20 +11,19 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import annotate, fold
+from graphloom.llm.common import annotate, discard, fold, materialize
 from graphloom.llm.decontaminate import words_of
-from graphloom.llm.sampling import labelled
+from graphloom.llm.sampling import labelled, texts_of
 
-#: Labelled rows that the fit reads at most.
+#: Labelled rows that the fit reads at most: those whose ids have the smallest hashes.
 SAMPLE = 12_000
-#: Features of all sampled rows that the fit holds at most, 4 bytes each; further rows of the sample are left out.
-FEATURES = 40_000_000
 EPOCHS = 6
 BITS = 21
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 5.0, 0.05
@@ -72,51 +72,55 @@ class Model:
         return out
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Model:
-    """Follows the proximally regularised leader over the rows, in order, `epochs` times."""
-    size = 1 << BITS
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
-    for _ in range(epochs):
-        for x, y in rows:
-            x = np.append(x, size)  # the last coordinate is the bias, which L1 spares
-            zx, nx = z[x], n[x]
-            root = np.sqrt(nx)
-            l1 = np.full(len(x), L1)
-            l1[-1] = 0
-            w = -np.sign(zx) * np.maximum(np.abs(zx) - l1, 0) / ((BETA + root) / ALPHA + L2)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-            grown = np.sqrt(nx + g * g)
-            z[x] = zx + g - (grown - root) / ALPHA * w
-            n[x] = nx + g * g
-    w = -np.sign(z) * np.maximum(np.abs(z) - np.append(np.full(size, L1), 0), 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
-    index = np.flatnonzero(w[:-1])
-    return Model(index, w[:-1][index].astype(np.float32), float(w[-1]))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model fitted in one task to at most `sample` labelled rows outside the held-out fold."""
-    known = labelled(labels, id_col, label_col, fold(F.col(id_col), 5) != 0, sample, SEED)
-    texts = docs.select(id_col, text_col).join(F.broadcast(known), id_col)  # at most `sample` rows of two numbers
+class Ftrl:
+    """The proximally regularised leader; the last coordinate is the bias, which L1 spares."""
+
+    def __init__(self, size: int = 1 << BITS):
+        self.z, self.n, self.size = np.zeros(size + 1), np.zeros(size + 1), size
+
+    def weights(self, x: np.ndarray) -> np.ndarray:
+        z = self.z[x]
+        l1 = np.where(x == self.size, 0.0, L1)
+        return -np.sign(z) * np.maximum(np.abs(z) - l1, 0) / ((BETA + np.sqrt(self.n[x])) / ALPHA + L2)
+
+    def learn(self, x: np.ndarray, y: int) -> None:
+        """One step with the rates of the row's own coordinates."""
+        x = np.append(x, self.size)
+        w, n = self.weights(x), self.n[x]
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+        self.z[x] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
+        self.n[x] = n + g * g
+
+    def model(self) -> Model:
+        w = self.weights(np.arange(self.size + 1))
+        index = np.flatnonzero(w[:-1])
+        return Model(index, w[index].astype(np.float32), float(w[-1]))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, epochs: int = EPOCHS) -> Model:
+    """A model fitted in one task to at most `sample` labelled rows outside the held-out fold; all of each row's features count."""
+    known = labelled(labels, id_col, label_col, fold(F.col(id_col), 5) != 0, sample, SEED).withColumn("order", F.xxhash64(F.lit(SEED + 1), F.col(id_col)))
+    texts = texts_of(docs, known, id_col, text_col)
 
     def make() -> Callable[[list[bytes]], list[pa.Array]]:
         cache = _Hashes()
         return lambda batch: [pa.array([distinct(words_of(t), cache).astype(np.int32).tobytes() for t in batch], pa.binary())]
 
-    rows = annotate(texts, text_col, [id_col, "label"], "x binary", make)
-    order = F.xxhash64(F.lit(SEED + 1), F.col(id_col))
-    first = rows.orderBy(order, id_col, "label", "x").limit(2 * sample).select("label", "x")  # ids may repeat
+    rows = materialize(annotate(texts, "text", [id_col, "order", "label"], "x binary", make), "features")
+    # All epochs are the same pass, so it does not matter in which order the one task gets them.
+    one = rows.coalesce(1).sortWithinPartitions("order", id_col).select("label", "x")
+    passes = reduce(lambda a, b: a.union(b), [one] * epochs).coalesce(1)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = [], 0
+        leader = Ftrl()
         for batch in batches:
-            for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if seen + len(x) // 4 <= FEATURES:
-                    held.append((np.frombuffer(x, np.int32), y))
-                    seen += len(x) // 4
-        m = ftrl(held)
+            for y, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                leader.learn(np.frombuffer(x.as_buffer(), np.int32).astype(np.int64), y)
+        m = leader.model()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1), pa.int64()), pa.array(np.append(m.weight, m.bias).astype(np.float64))], ["index", "weight"])
 
-    found = first.mapInArrow(fit, "index long, weight double").collect()  # 2^BITS rows at most, a few thousand in practice
+    found = passes.mapInArrow(fit, "index long, weight double").collect()  # 2^BITS rows at most, a few thousand in practice
+    discard(rows)
     pairs = [(r["index"], r["weight"]) for r in found if r["index"] >= 0]
     index, weight = (np.array([p[k] for p in pairs], t) for k, t in ((0, np.int64), (1, np.float32)))
     return Model(index, weight, next((r["weight"] for r in found if r["index"] < 0), 0.0))
