@@ -2,9 +2,9 @@
 
 Base patterns run on the source text. Transducers then rewrite disguises and keep, for every character they emit, the
 source characters it came from: homoglyphs (full-width forms, Cyrillic and Greek look-alikes, exotic digits and
-separators) become ASCII, runs of spelled digits become digits, and "at" / "dot" disguises become @ and a point. The same patterns run on the
-rewritten text, and what they find is mapped back to source characters. A mapped span is added only if a rewritten
-character lies in it and it is not a base span; base spans always stay.
+separators) become ASCII, runs of spelled digits become digits, and "at" / "dot" disguises become @ and a point. The
+same patterns run on the rewritten text, and what they find is mapped back to source characters. A mapped span is added
+only if its source reads otherwise and it is not a base span; base spans always stay.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from io import StringIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +50,7 @@ def _emails(text: str) -> Iterator[Span]:
 
 def _ips(text: str) -> Iterator[Span]:
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m.group().split("."))):
             yield m.span()
 
 
@@ -103,6 +106,8 @@ def _glyphs() -> dict[str, str]:
 
 _GLYPHS = _glyphs()
 _GLYPH = re.compile("[" + re.escape("".join(_GLYPHS)) + "]")
+_GLYPH_TABLE = {ord(c): sign for c, sign in _GLYPHS.items()}
+_PART = 1 << 20
 #: Bytes that lead no glyph but the no-break space.
 _LOW = bytes(range(0xC6))
 #: Words for the digits in four languages, without articles.
@@ -160,29 +165,75 @@ _QUAD_PART = re.compile(rf"(?i) +{_DOT} +|{_WORD}|[ -]")
 
 
 class Mapped:
-    """A rewritten text, and for each of its characters the source span and whether it was rewritten."""
+    """A rewritten text as pieces, each with its place in the text and the source span it stands for.
+
+    A piece that was copied stands for as many source characters as it has; a piece that was put in, for its whole span.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.starts, self.ends, self.changed = list(range(len(text))), list(range(1, len(text) + 1)), bytearray(len(text))
-
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replaces the ordered, disjoint parts; each new character stands for the whole part."""
-        if not edits:
-            return
-        text, starts, ends, changed, at = [], [], [], bytearray(), 0
-        for a, b, new in edits:
-            text += (self.text[at:a], new)
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
-            changed += self.changed[at:a] + b"\1" * len(new)
-            at = b
-        text.append(self.text[at:])
-        self.text, self.starts, self.ends, self.changed = "".join(text), starts + self.starts[at:], ends + self.ends[at:], changed + self.changed[at:]
-
-
-def _spelled(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+        self.at, self.first, self.end = array("l", [0]), array("l", [0]), array("l", [-1])  # end -1: copied
+
+    def start(self, place: int) -> int:
+        """Where the source of the character at a place begins."""
+        k = bisect_right(self.at, place) - 1
+        return self.first[k] + (place - self.at[k] if self.end[k] < 0 else 0)
+
+    def stop(self, place: int) -> int:
+        """Where the source of the character at a place ends."""
+        k = bisect_right(self.at, place) - 1
+        return self.first[k] + place - self.at[k] + 1 if self.end[k] < 0 else self.end[k]
+
+    def rewrite(self, edits: Iterator[tuple[int, int, str]]) -> bool:
+        """Replaces the ordered, disjoint parts; each new character stands for the whole part. False if there are none."""
+        edit = next(edits, None)
+        if edit is None:
+            return False
+        out, size, done, k = StringIO(), 0, 0, 0
+        at, first, end = array("l"), array("l"), array("l")
+
+        def copied(upto: int) -> None:
+            nonlocal size, done, k
+            while done < upto:
+                while k + 1 < len(self.at) and self.at[k + 1] <= done:
+                    k += 1
+                stop = min(upto, self.at[k + 1] if k + 1 < len(self.at) else upto)
+                at.append(size)
+                first.append(self.first[k] + (done - self.at[k] if self.end[k] < 0 else 0))
+                end.append(self.end[k])
+                out.write(self.text[done:stop])
+                size += stop - done
+                done = stop
+
+        while edit is not None:
+            a, b, new = edit
+            copied(a)
+            for c in new:
+                at.append(size)
+                first.append(self.start(a))
+                end.append(self.stop(b - 1))
+                out.write(c)
+                size += 1
+            done = b
+            edit = next(edits, None)
+        copied(len(self.text))
+        self.text, self.at, self.first, self.end = out.getvalue(), at, first, end
+        return True
+
+
+def _has_spelled(raw: bytes) -> bool:
+    """Whether a word of the text is a spelled digit; looked at in parts, so that the words of a long text do not pile up."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + _PART)
+        end = len(raw) if end < 0 else end
+        if not _SPELLED_RAW.isdisjoint(words_of(raw[at:end])):
+            return True
+        at = end
+    return False
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
     for run in _DIGITS.finditer(text):
         if not _DIGIT_WORD.search(run.group()):
             continue
@@ -190,15 +241,14 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
         for part in re.finditer(r"\w+|[^\w]+", run.group()):
             a, b, s = at + part.start(), at + part.end(), part.group()
             if s.lower() in _SPELLED:
-                edits.append((a, b, _SPELLED[s.lower()]))
+                yield a, b, _SPELLED[s.lower()]
             elif not s[0].isalnum() and "." not in s:
-                edits.append((a, b, ""))  # between digits of one number
-    return edits
+                yield a, b, ""  # between digits of one number
 
 
-def _bare(text: str) -> list[tuple[int, int, str]]:
+def _bare(text: str) -> Iterator[tuple[int, int, str]]:
     """Disguises in words: a bare at counts only with a bare dot, so that "look at example.com" is left alone."""
-    edits, last = [], 0
+    last = 0
     for start in _BARE.finditer(text):
         fits = [m for f in _FORMS if start.start() >= last and (m := f.match(text, start.start()))]
         if not fits:
@@ -209,59 +259,59 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
             continue
         before = (_LOCAL_DOTS_PLAIN if at.group() == "@" and not dots else _LOCAL_DOTS).search(text, max(last, m.start() - _LOCAL_REACH), m.start())
         if before:
-            edits += [(before.start() + d.start(), before.start() + d.end(), ".") for d in _BARE_DOT.finditer(before.group())]
+            for d in _BARE_DOT.finditer(before.group()):
+                yield before.start() + d.start(), before.start() + d.end(), "."
         last = m.end()
         if at.group() != "@":
-            edits.append((m.start(), m.start() + at.end(), "@"))
-        edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in dots if d.start() >= at.end()]
-    return edits
+            yield m.start(), m.start() + at.end(), "@"
+        for d in dots:
+            if d.start() >= at.end():
+                yield m.start() + d.start(), m.start() + d.end(), "."
 
 
-def _quads(text: str) -> list[tuple[int, int, str]]:
+def _quads(text: str) -> Iterator[tuple[int, int, str]]:
     """Addresses of four numbers with a dot in words."""
-    edits = []
     for m in _QUAD.finditer(text):
         if _BARE_DOT.search(m.group()):
             for part in _QUAD_PART.finditer(m.group()):
                 s = part.group().lower()
-                edits.append((m.start() + part.start(), m.start() + part.end(), _SPELLED.get(s, "." if s.strip(" -") else "")))
-    return edits
+                yield m.start() + part.start(), m.start() + part.end(), _SPELLED.get(s, "." if s.strip(" -") else "")
 
 
 def deobfuscate(text: str, raw: bytes, digits: int) -> Mapped | None:
     """The rewritten text, or None if nothing in it looks disguised."""
-    plain, mapped = text, None
-
-    def rewrite(edits: list[tuple[int, int, str]]) -> None:
-        nonlocal plain, mapped
-        if edits:
-            mapped = mapped or Mapped(text)
-            mapped.rewrite(edits)
-            plain = mapped.text
-
-    if not text.isascii() and (raw.translate(None, _LOW) or b"\xc2\xa0" in raw):
-        rewrite([(m.start(), m.end(), _GLYPHS[m.group()]) for m in _GLYPH.finditer(text)])
-    if not _SPELLED_RAW.isdisjoint(words_of(raw if mapped is None else plain.encode("utf-8", "replace"))):
-        rewrite(_spelled(plain))
-    if (digits or mapped) and ("plus " in plain or "Plus " in plain or "PLUS " in plain):
-        rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(plain)])
-    if any(c in plain for c in "[({<") and _MARK_HINT.search(plain):
-        rewrite([(m.start(), m.end(), "@" if _IS_AT.search(m.group()) else ".") for m in _MARK.finditer(plain)])
-    if dotted := _DOT_HINT.search(plain):
-        rewrite(_quads(plain))
-    if dotted or "@" in plain:
-        rewrite(_bare(plain))
-    return mapped
+    mapped, changed = Mapped(text), False
+
+    def rewrite(edits: Iterator[tuple[int, int, str]]) -> None:
+        nonlocal changed
+        changed |= mapped.rewrite(edits)
+
+    if not text.isascii() and (raw.translate(None, _LOW) or b"\xc2\xa0" in raw) and _GLYPH.search(text):
+        mapped.text, changed = text.translate(_GLYPH_TABLE), True  # one character for one, so all places stay
+    if _has_spelled(mapped.text.encode("utf-8", "replace") if changed else raw):
+        rewrite(_spelled(mapped.text))
+    if (digits or changed) and ("plus " in mapped.text or "Plus " in mapped.text or "PLUS " in mapped.text):
+        rewrite((m.start(), m.end(), "+") for m in _PLUS.finditer(mapped.text))
+    if any(c in mapped.text for c in "[({<") and _MARK_HINT.search(mapped.text):
+        rewrite((m.start(), m.end(), "@" if _IS_AT.search(m.group()) else ".") for m in _MARK.finditer(mapped.text))
+    if dotted := _DOT_HINT.search(mapped.text):
+        rewrite(_quads(mapped.text))
+    if dotted or "@" in mapped.text:
+        rewrite(_bare(mapped.text))
+    return mapped if changed else None
 
 
 def added(text: str, raw: bytes, digits: int, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans, in source characters, that only the rewritten text shows."""
+    """Spans, in source characters, that only the rewritten text shows: their source reads otherwise."""
     mapped = deobfuscate(text, raw, digits)
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     if mapped is not None:
-        for kind, spans in base(mapped.text).items():
+        for kind, find_in in _FINDERS.items():
             known = set(plain[kind])
-            out[kind] = [s for a, b in spans if any(mapped.changed[a:b]) and (s := (mapped.starts[a], mapped.ends[b - 1])) not in known]
+            for a, b in find_in(mapped.text):
+                s = mapped.start(a), mapped.stop(b - 1)
+                if s not in known and text[s[0] : s[1]] != mapped.text[a:b]:
+                    out[kind].append(s)
     return out
 
 

@@ -320,3 +320,33 @@ def test_a_diluted_passage_goes(spark, block):
     assert left(min_share=0.05) == {1, 2, 4, 5}
     flags = {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, bench, block_bytes=block).collect()}
     assert flags[1] == (13, False) and flags[3] == (13, True)
+
+
+def test_long_digit_runs():
+    """More digits than Python turns into a number at once."""
+    text = "1.2.3." + "0" * 5000 + "1 and 1.2.3." + "9" * 5000
+    assert pii.find(text)[0]["ip"] == [(0, 5007)]
+    assert pii.find("4" * 20_000)[0]["card"] == []
+
+
+def test_memory_of_a_long_disguised_text():
+    import tracemalloc
+
+    text = "a (at) b (dot) co " * 60_000
+    tracemalloc.start()
+    found = pii.find(text)[1]["email"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 60_000 and found[-1] == (len(text) - 18, len(text) - 1)
+    assert peak < 30 * len(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["joe", " at ", " (at) ", "@", "＠", " dot ", " [dot] ", ".", "com", "one", " ", "five", "1", "plus ", "о", "é", "192"]), max_size=25).map("".join))
+def test_mapped_places(text):
+    """Every character of the rewritten text that was copied is the source character it stands for."""
+    mapped = pii.deobfuscate(text, text.encode(), sum(c in "0123456789" for c in text))
+    if mapped is not None:
+        places = [(mapped.start(k), mapped.stop(k)) for k in range(len(mapped.text))]
+        assert all(0 <= a < b <= len(text) for a, b in places) and places == sorted(places)
+        assert all(mapped.text[k] == text[a] or text[a] in pii._GLYPHS for k, (a, b) in enumerate(places) if b == a + 1)
