@@ -1,7 +1,7 @@
 """Mixing sources by temperature, realised as budgeted block permutations.
 
 The weight of a source is its token share to the power alpha, normalised: alpha 1 keeps the natural mix, alpha 0 is
-uniform. alpha is bisected to meet a target entropy or a limit on repetitions. A source's quota of tokens is then a
+uniform. alpha is bisected, five halvings a job, to meet a target entropy or a limit on repetitions. A source's quota of tokens is then a
 number of full passes over it and a part of one more. A source's rows are dealt by a seeded hash into blocks of about
 BLOCK_TOKENS; a pass visits the blocks in a pseudo-random order (an affine permutation of the block numbers), and the
 partial pass stops where the quota is met: whole blocks first, then rows of one block in the order of their hashes.
@@ -22,11 +22,13 @@ SEED = 4
 BLOCK_TOKENS = 1 << 20
 #: The repetition limit that the registered query and the pipeline use.
 MAX_REPEATS = 2.0
-#: Each round of the bisection evaluates so many exponents in one job.
+#: Each round of the bisection evaluates so many exponents in one job: all that five halvings can lead to.
 _GRID = 32
 _ROUNDS = 4
 #: A prime above any number of blocks, for permutations.
 _PRIME = 2_147_483_647
+#: Ranks, which lie between 0 and the prime, are first summed in cells of so many.
+_CELL = 1 << 19
 
 
 def tokens(text_col: str) -> Column:
@@ -121,18 +123,28 @@ def plan(docs: DataFrame, budget: int | None = None, target_entropy: float | Non
     ).withColumn("passes", (F.col("whole") / F.col("n")).cast("long")).drop("whole")
     quotas = materialize(quotas, "quotas")
     dealt = _join(light, quotas, ["blocks", "a", "c", "rest"]).withColumn("rank", _rank())
-    sums = dealt.where("rest > 0").groupBy("source", "rank").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-    ordered = Window.partitionBy("source").orderBy("rank")
-    running = sums.withColumn("upto", F.sum("t").over(ordered))
-    cut = running.where("upto >= rest and upto - t < rest").select("source", F.col("rank").alias("cut"), (F.col("rest") - F.col("upto") + F.col("t")).alias("need"))
-    cut = materialize(cut, "cuts")
-    edge = _join(dealt.select("source", "rank", "h", "tokens"), cut, ["cut", "need"]).where("rank = cut")
+    # The block in which the quota is met: first the cell of ranks, then the block within, so no task orders all blocks.
+    cell = F.floor(F.col("rank") / _CELL).alias("cell")
+    sums = dealt.where("rest > 0").groupBy("source", cell, "rank").agg(F.sum("tokens").alias("t"), F.first("rest").alias("need"))
+    sums = materialize(sums, "sums")
+    cells = _met(sums.groupBy("source", "cell").agg(F.sum("t").alias("t"), F.first("need").alias("need")), "cell")
+    inside = _join(sums.drop("need"), cells.withColumnRenamed("cell", "met"), ["met", "need"]).where("cell = met")
+    cut = materialize(_met(inside, "rank").withColumnRenamed("rank", "cut"), "cuts")
+    # Rows without tokens cannot meet a quota, so a block has no more rows here than tokens.
+    edge = _join(dealt.select("source", "rank", "h", "tokens").where("tokens > 0"), cut, ["cut", "need"]).where("rank = cut")
     edge = edge.groupBy("source", "h").agg(F.sum("tokens").alias("t"), F.first("need").alias("need"))
     within = edge.withColumn("before", F.sum("t").over(Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)))
     last = within.where("coalesce(before, 0) < need").groupBy("source").agg(F.max("h").alias("last"))
     return light, materialize(_join(_join(quotas, cut, ["cut"], "left"), last, ["last"], "left").drop("rest", "n"), "plan")
 
 
+def _met(parts: DataFrame, place: str) -> DataFrame:
+    """(source, place, need): where the running sum of t reaches need, and what is then still needed of that part."""
+    running = parts.withColumn("upto", F.sum("t").over(Window.partitionBy("source").orderBy(place)))
+    met = running.where("upto >= need and upto - t < need")
+    return met.select("source", place, (F.col("need") - F.col("upto") + F.col("t")).alias("need"))
+
+
 def _join(rows: DataFrame, by: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
     """rows and the columns cols of by; null sources match each other."""
     other = by.select(F.col("source").alias("_source"), *cols)
@@ -176,7 +188,8 @@ def order() -> list[Column]:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, ordered: bool = False, **options) -> DataFrame:
     """docs with each row as often as the mixture uses it; the columns stay.
 
-    ordered adds pass, block_rank and place, by which a source's copies come in the order of the method.
+    ordered adds pass, block_rank and place, by which a source's copies come in the order of the method. Null texts and
+    sources, empty texts and repeated rows are used as mixture() says; an empty table gives an empty result.
     """
     _, by = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
