@@ -350,3 +350,35 @@ def test_mapped_places(text):
         places = [(mapped.start(k), mapped.stop(k)) for k in range(len(mapped.text))]
         assert all(0 <= a < b <= len(text) for a, b in places) and places == sorted(places)
         assert all(mapped.text[k] == text[a] or text[a] in pii._GLYPHS for k, (a, b) in enumerate(places) if b == a + 1)
+
+
+HOSTILE = {
+    "assign": ["password " * 110_000, "secret" + " " * 1_000_000, "token='" * 140_000, "apikey=" + "a" * 1_000_000, "password=\"" + "a" * 11 + " "],
+    "access": ["AKIA" * 250_000 + " ", "AKIAABCDEFGHIJKLM " * 55_000],
+    "hex": ["0123456789abcde " * 62_000, "f" * 1_000_000],
+    "github": ["ghp_" * 250_000, "ghp_aaaaaaa " * 80_000],
+    "slack": ["xoxa-" * 200_000, "xoxb-aaaaaaa " * 75_000],
+    "google": ["AIza" * 250_000, "AIza-" * 200_000],
+    "stripe": ["sk_live_" * 125_000, "sk_live_aaaaaaaaaaaa " * 45_000],
+    "jwt": ["eyJ" * 333_000 + " .eyJ", "eyJaaaaaaaa." * 83_000, "eyJ" * 60 + ".eyJ" + "a" * 1_000_000, ("eyJ" * 60 + ".") * 5_500],
+    "private": ["-----BEGIN " * 90_000, "-----BEGIN AAAAAAAAAAAAAAAAAAAA " * 31_000],
+}
+
+
+def test_rules_take_linear_time(spark):
+    """A megabyte that each rule begins to match over and over."""
+    import time
+
+    assert set(HOSTILE) == {r.kind for r in secrets.BASE + secrets.MORE}
+    rows = [(k, t) for k, ts in HOSTILE.items() for t in ts]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    secrets.scan(docs.where("doc_id = 'private'")).collect()  # compiles
+    began = time.perf_counter()
+    got = secrets.scan(docs).collect()
+    took = time.perf_counter() - began
+    assert len(got) == len(rows) and took < len(rows) * 1.0, took
+
+
+def test_nothing_is_shuffled_without_an_index(spark, odd):
+    plan = secrets.scan(odd.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(key" not in plan
