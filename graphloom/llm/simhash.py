@@ -6,13 +6,14 @@ fingerprints link at `distance` or fewer differing bits. The search:
 1. Equal fingerprints are merged, so a group of copies is one node however large it is.
 2. The 64 bits are cut into `distance + 2` blocks; linked fingerprints agree on at least two of them, so each pair of
    blocks is an exact equi-join key (10 keys for a distance of 3). No pairs are made at this point.
-3. A key held by more than CELL fingerprints is dealt into chunks, and every pair of chunks becomes a cell of its own,
-   so no task holds an unbounded group.
+3. A key held by more than CELL fingerprints is cut finer by the bits it leaves open, in distance + 1 parts of which
+   linked fingerprints share one. What is still larger is dealt into chunks, and every pair of chunks becomes a cell of
+   its own, so no task holds an unbounded group.
 4. In a cell, each fingerprint's Hamming distances to PIVOTS reference fingerprints form its pivot table. By the
    triangle inequality linked fingerprints differ by at most `distance` in every coordinate. Rows are sorted by the
    first coordinate, a window slides over it, the other coordinates discard pairs by their largest difference, and
    survivors are compared bit by bit.
-5. A cell returns a spanning forest of its links, never all pairs, and `components` joins the forests.
+5. A cell returns a spanning forest of its links, never all pairs, and `components.labels` joins the forests.
 """
 
 from __future__ import annotations
@@ -23,16 +24,20 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import bounded_batches, materialize, text_of
-from graphloom.llm.components import components
+from graphloom.llm.components import labels
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
 CELL = 2048
+#: A text with more copies than this is handled apart from others, so that no task gets all of its rows.
+COPIES = 1000
+#: So many keys are broadcast at most. There are always fewer that hold more than this part of all rows each.
+HOT_SHARE = 100_000
 #: Into so many parts the rows of a component are dealt where they meet its smallest id.
 PARTS = 64
 #: Reference fingerprints: fixed, near-orthogonal bit patterns.
@@ -115,18 +120,51 @@ def keyed(fps: DataFrame, distance: int) -> DataFrame:
     return fps.select(F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("band"), key.alias("key")) for k, key in enumerate(keys)])).alias("k"), "fp").select("k.band", "k.key", "fp")
 
 
+def _rest(distance: int) -> Column:
+    """For a row (band, key, fp) its finer keys: the bits that the band leaves, in distance + 1 parts, one a key.
+
+    Linked fingerprints of one key differ in at most `distance` of these bits, so they agree on one of the parts.
+    """
+    blocks, out = _blocks(distance), None
+    for k, pair in enumerate(combinations(range(len(blocks)), 2)):
+        bits = [x for n, (a, m) in enumerate(blocks) if n not in pair for x in range(a, a + m)]
+        cuts = [len(bits) * i // (distance + 1) for i in range(distance + 2)]
+        parts = [bits[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+        masks = [sum(1 << x for x in part) for part in parts]
+        fine = F.array(*[F.struct(F.lit(n).alias("part"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for n, m in enumerate(masks)])
+        out = F.when(F.col("band") == k, fine) if out is None else out.when(F.col("band") == k, fine)
+    return out
+
+
+def _marked(rows: DataFrame, keys: list[str], many: int, total: int) -> DataFrame:
+    """rows, `total` in all, with n: the number of rows of their key where it is above `many`, else null.
+
+    Up to HOT_SHARE such keys are broadcast. Of more, those that hold more than that part of all rows are, which are
+    fewer again whatever the data; the others are joined by shuffle, and none of them is large enough to hold up a task.
+    """
+    hot = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many), "hot")
+    if hot.count() <= HOT_SHARE:
+        return rows.join(F.broadcast(hot), keys, "left")
+    great = F.col("n") > max(many, total // HOT_SHARE)
+    wide = rows.join(F.broadcast(hot.where(great)), keys, "left")
+    return wide.where("n IS NOT NULL").unionByName(wide.where("n IS NULL").drop("n").join(hot.where(~great), keys, "left"))
+
+
 def cells(fps: DataFrame, distance: int, cell: int = CELL) -> DataFrame:
-    """(band, key, i, j, d0, fp), dealt so that one task holds whole cells, sorted by cell and first pivot distance."""
-    rows = keyed(fps, distance)
-    hot = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
-    chunks = F.ceil(F.col("n") / cell).cast("int")
+    """(band, key, part, bits, i, j, d0, fp), dealt so that one task holds whole cells, sorted by cell and first pivot distance."""
+    rows = _marked(keyed(fps, distance), ["band", "key"], cell, fps.count() * (distance + 2) * (distance + 1) // 2)
+    plain = rows.where("n IS NULL").select("band", "key", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("bits"), F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    # A key of too many fingerprints is cut finer, and only what is still too large is dealt into pairs of chunks.
+    fine = rows.where("n IS NOT NULL").select("band", "key", F.explode(_rest(distance)).alias("f"), "fp").select("band", "key", "f.part", "f.bits", "fp")
+    fine, keys = materialize(fine, "fine"), ["band", "key", "part", "bits"]
+    fine = _marked(fine, keys, cell, fine.count())
+    chunks = F.coalesce(F.ceil(F.col("n") / cell).cast("int"), F.lit(1))
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    dealt = rows.join(hot, ["band", "key"], "left").select("band", "key", "fp", F.explode(F.when(F.col("n").isNull(), one).otherwise(pairs)).alias("c"))
+    dealt = fine.select(*keys, F.explode(pairs).alias("c"), "fp").select(*keys, "c.i", "c.j", "fp")
     first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(PIVOTS[0].astype(np.int64))))).cast("int")
-    out = dealt.select("band", "key", F.col("c.i").alias("i"), F.col("c.j").alias("j"), first.alias("d0"), "fp")
-    return out.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "d0")
+    out = plain.unionByName(dealt).select(*keys, "i", "j", first.alias("d0"), "fp")
+    return out.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "d0")
 
 
 def forest(group: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
@@ -170,7 +208,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(signed[at]), pa.array(signed[root[at]])], ["a", "b"])
 
         def ids(rows: pa.Table) -> np.ndarray:
-            cols = [rows.column(c).to_numpy() for c in ("band", "key", "i", "j")]
+            cols = [rows.column(c).to_numpy() for c in ("band", "key", "part", "bits", "i", "j")]
             new = np.zeros(len(cols[0]), bool)
             for c in cols:
                 new[1:] |= c[1:] != c[:-1]
@@ -201,16 +239,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none. Repeated rows stay repeated. Other columns are ignored. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = materialize(components(links(nodes.select("fp"), distance, cell)), "roots").withColumnRenamed("node", "fp")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    roots = labels(links(nodes.select("fp"), distance, cell)).withColumnRenamed("node", "fp")
     linked = nodes.join(roots, "fp").select("fp", "root", "least")
     # A component may hold any share of the fingerprints, so its rows are dealt by root and a part of the fingerprint.
     part = F.pmod(F.xxhash64("fp"), F.lit(PARTS)).alias("part")
     whole = linked.groupBy("root").agg(F.min("least").alias("whole"))
     whole = whole.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"), "whole")
     named = linked.select("fp", "root", part).join(whole, ["root", "part"]).select("fp", "whole")
-    of = nodes.join(named, "fp", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
-    return prints.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = materialize(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("whole", "least").alias("component_id")), "of")
+    # A fingerprint of very many copies would be one task of the join. There are fewer than HOT_SHARE of them.
+    great = F.col("n") > max(COPIES, prints.count() // HOT_SHARE)
+    hot, rest = of.where(great).drop("n"), of.where(~great).drop("n")
+    wide = prints.join(F.broadcast(hot.withColumn("great", F.lit(True))), "fp", "left")
+    done = wide.where("great").drop("great").unionByName(wide.where("great IS NULL").drop("great", "component_id").join(rest, "fp"))
+    return done.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, cell: int = CELL, null_ids_stay: bool = True) -> DataFrame:
@@ -225,10 +268,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = docs.select(F.struct(name.isNull().alias("unnamed"), name.alias("id"), *hashes).alias("key"), text.alias("text"))
     prints = materialize(fingerprints(keys, "key", "text", shingle), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    roots = materialize(components(links(nodes.select("fp"), distance, cell)), "roots").withColumnRenamed("node", "fp")
+    roots = labels(links(nodes.select("fp"), distance, cell)).withColumnRenamed("node", "fp")
     first = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    kept = first.select("least.a", "least.b")
+    kept = materialize(first.select("least.a", "least.b"), "kept")
     rows = docs.where(name.isNotNull()) if null_ids_stay else docs
     rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *hashes)
+    # Of a key that very many rows share one row of each task is enough; so no task gets all of them.
+    times, total = prints.groupBy("key.a", "key.b").agg(F.count(F.lit(1)).alias("n")), prints.count()
+    great = F.broadcast(times.where(F.col("n") > max(COPIES, total // HOT_SHARE)).select("a", "b"))
+    rows = rows.join(great, ["a", "b"], "left_anti").unionByName(rows.join(great, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("row").alias("row")))
     named = rows.join(kept, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select("row.*")
     return named.union(docs.where(name.isNull())) if null_ids_stay else named

@@ -63,6 +63,26 @@ def test_against_brute_force(spark, odd_rows, cell):
     assert got == brute(rows)
 
 
+def test_many_copies_and_finer_keys(spark, monkeypatch):
+    """Every way round a hot key: copies by broadcast, keys cut finer and then into chunks, too many keys to broadcast."""
+    rnd = random.Random(6)
+    text = [f"w{rnd.randrange(300)}" for _ in range(400)]
+    rows = [(k, " ".join(text)) for k in range(50)]
+    for k in range(50, 150):
+        t = list(text)
+        t[rnd.randrange(400)] = f"w{rnd.randrange(300)}"
+        rows.append((k, " ".join(t)))
+    rows += near(rnd, 15)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows)
+    ids = {k for k, _, c in expected if k == c}
+    for copies, share, cell in ((5, 100_000, 3), (5, 2, 3), (1000, 0, 20)):
+        monkeypatch.setattr(simhash, "COPIES", copies)
+        monkeypatch.setattr(simhash, "HOT_SHARE", max(share, 1))
+        assert sorted((tuple(r) for r in simhash.near_duplicates(docs, cell=cell).collect()), key=str) == expected
+    assert {r.doc_id for r in simhash.deduplicate(docs, cell=20).collect()} == ids
+
+
 def test_deduplicate(spark, odd, odd_rows):
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns
