@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.admin import PARTS, Places, Sessions, TextClients, Users
 from graphloom.errors import GraphError
 from graphloom.types import INTS, PropertyType, vid_type
 
@@ -75,7 +76,7 @@ class Index:
     kind: str
     schema: str
     fields: tuple[IndexField, ...] = ()
-    status: str = "FINISHED"
+    status: str = "STARTING"  # until it is built; then BUILDING, and FINISHED
 
 
 @dataclass
@@ -93,6 +94,7 @@ class Space:
     listeners: list[dict] = field(default_factory=list)
     writable: bool = True
     next_id: int = 1
+    group: str | None = None
 
 
 def _ttl_checked(props: tuple[Prop, ...], col: str | None, duration: int) -> tuple[str | None, int]:
@@ -105,8 +107,10 @@ def _ttl_checked(props: tuple[Prop, ...], col: str | None, duration: int) -> tup
     return col, duration
 
 
-class Catalog:
+class Catalog(Users, Sessions, Places, TextClients):
     def __init__(self) -> None:
+        for name, kind in PARTS.items():
+            setattr(self, name, kind())
         self.spaces: dict[str, Space] = {}
         self.settings: dict[str, dict] = {}
         self.jobs: list[dict] = []
@@ -114,7 +118,7 @@ class Catalog:
 
     # Spaces
 
-    def create_space(self, name: str, partitions: int = 100, replicas: int = 1, vid: str = "FIXED_STRING(8)", charset: str = "utf8", collation: str = "utf8_bin", if_not_exists: bool = False) -> Space:
+    def create_space(self, name: str, partitions: int = 100, replicas: int = 1, vid: str = "FIXED_STRING(8)", charset: str = "utf8", collation: str = "utf8_bin", if_not_exists: bool = False, group: str | None = None) -> Space:
         if name in self.spaces:
             if if_not_exists:
                 return self.spaces[name]
@@ -124,13 +128,18 @@ class Catalog:
             raise GraphError("INVALID_PARM", "partitions and replicas must be positive")
         if charset != "utf8" or collation not in ("utf8_bin", "utf8_general_ci"):
             raise GraphError("INVALID_PARM", f"unknown charset {charset} or collation {collation}")
-        self.spaces[name] = Space(self.next_id, name, partitions, replicas, vid, charset, collation)
+        if group is not None:
+            self.get_group(group)
+        self.spaces[name] = Space(self.next_id, name, partitions, replicas, vid, charset, collation, group=group)
         self.next_id += 1
         return self.spaces[name]
 
     def drop_space(self, name: str, if_exists: bool = False) -> None:
+        """Drops a space with all that is in it, and the roles that users have there. Its data goes with the next vacuum."""
         if self.spaces.pop(name, None) is None and not if_exists:
             raise GraphError("NOT_FOUND", name)
+        for u in self.users.values():
+            u["roles"].pop(name, None)
 
     def space(self, name: str) -> Space:
         if name not in self.spaces:
@@ -316,15 +325,33 @@ class Catalog:
         rows = [(*k.split(".", 1), json.dumps(v["value"]), v["mutable"]) for k, v in sorted(self.settings.items())]
         return spark.createDataFrame(rows, "module string, name string, value string, mutable boolean")
 
+    def describe(self, spark: SparkSession) -> DataFrame:
+        """(kind, space, name, detail as JSON) of everything that the catalog keeps, but for password hashes."""
+        rows = []
+        for s in self.spaces.values():
+            whole = asdict(s)
+            rows.append(("space", s.name, s.name, {k: v for k, v in whole.items() if k not in ("schemas", "indexes", "fulltext", "listeners")}))
+            rows += [(x["kind"], s.name, n, x) for n, x in whole["schemas"].items()]
+            rows += [(f"{x['kind']} index", s.name, n, x) for n, x in whole["indexes"].items()]
+            rows += [("fulltext index", s.name, n, x) for n, x in whole["fulltext"].items()]
+            rows += [("listener", s.name, x["kind"], x) for x in s.listeners]
+        rows += [("setting", None, n, x) for n, x in self.settings.items()] + [("job", j["space"], str(j["id"]), j) for j in self.jobs]
+        rows += [("user", None, n, {"roles": x["roles"]}) for n, x in self.users.items()] + [("session", x["space"], n, x) for n, x in self.sessions.items()]
+        rows += [(kind, None, n, x) for kind, table in (("host", self.hosts), ("zone", self.zones), ("group", self.groups)) for n, x in table.items()]
+        rows += [("text client", None, c["host"], c) for c in self.clients]
+        return spark.createDataFrame([(*r[:3], json.dumps(r[3], sort_keys=True)) for r in rows], "kind string, space string, name string, detail string")
+
     # JSON
 
     def to_json(self) -> str:
-        return json.dumps({"spaces": {k: asdict(v) for k, v in self.spaces.items()}, "settings": self.settings, "jobs": self.jobs, "next_id": self.next_id})
+        return json.dumps({"spaces": {k: asdict(v) for k, v in self.spaces.items()}, "settings": self.settings, "jobs": self.jobs, "next_id": self.next_id, **{n: getattr(self, n) for n in PARTS}})
 
     @staticmethod
     def from_json(text: str) -> Catalog:
         raw, out = json.loads(text), Catalog()
         out.settings, out.jobs, out.next_id = raw["settings"], raw.get("jobs", []), raw["next_id"]
+        for n, kind in PARTS.items():
+            setattr(out, n, raw.get(n, kind()))
 
         def index(i: dict) -> Index:
             return Index(**{**i, "fields": tuple(IndexField(**f) for f in i["fields"])})

@@ -17,11 +17,14 @@ KEYS = ("_src", "_rank", "_dst")
 
 
 def alive(ttl: tuple[str, int] | None, now: int | None) -> Column | None:
-    """A row lives until now is later than its TTL column plus the duration; null never expires."""
+    """A row lives until now is later than its TTL column plus the duration; null never expires.
+
+    The column is compared with a number, so that the test reaches the scan.
+    """
     if ttl is None or now is None:
         return None
     col, duration = ttl
-    return F.col(col).isNull() | (F.col(col) + F.lit(duration) >= F.lit(now))
+    return F.col(col).isNull() | (F.col(col) >= F.lit(now - duration))
 
 
 @dataclass(frozen=True)

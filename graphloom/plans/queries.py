@@ -592,7 +592,7 @@ def catalog_edges(spark, d):
     return _catalog().list_schemas(spark, "shop", "edge")
 
 
-@query("SELECT 3 AS id, 'by_name' AS name, 'customer' AS schema, ['name'] AS fields, 'FINISHED' AS status")
+@query("SELECT 3 AS id, 'by_name' AS name, 'customer' AS schema, ['name'] AS fields, 'STARTING' AS status")
 def catalog_indexes(spark, d):
     return _catalog().list_indexes(spark, "shop", "tag")
 

@@ -7,24 +7,32 @@ whatever the table's size, and readers keep the manifest they began with.
 
 Rows keep the schema version they were written under. A property that changed its type has a column for each type; on
 reading, a property unknown to the row's version takes the current default.
+
+An index is kept as segments too: once it has been built, every write adds to it what it changes, in the same commit.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
 
-from graphloom.catalog import Catalog, Prop, Schema, Space
+from graphloom.catalog import Catalog, Index, Prop, Schema, Space
 from graphloom.errors import GraphError
 from graphloom.graph import KEYS, Graph, Table, alive
 from graphloom.operators import lookup, mutate
+from graphloom.operators.scan import part_of
 from graphloom.sources.files import Files, materialize
 from graphloom.types import vid_type
 
+T = TypeVar("T")
 VERSION, SEQUENCE, GONE = "_ver", "_seq", "_gone"
 
 
@@ -40,7 +48,7 @@ def keys_of(schema: Schema) -> list[str]:
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
-        self.catalog, self.tables, self.number = Catalog(), {}, 0
+        self.catalog, self.tables, self.number, self._open = Catalog(), {}, 0, False
         self.refresh()
 
     # Manifests
@@ -63,46 +71,91 @@ class Store:
             raise GraphError("DATA_CONFLICT", "another writer was first; the newest state has been read")
         self.number += 1
 
+    @contextmanager
+    def batch(self) -> Iterator[Store]:
+        """Everything written inside becomes visible in one commit, or nothing does."""
+        if self._open:  # part of a batch already
+            yield self
+            return
+        before, self._open = (self.catalog.to_json(), dict(self.tables)), True
+        try:
+            yield self
+        except BaseException:
+            self.catalog, self.tables = Catalog.from_json(before[0]), before[1]
+            raise
+        finally:
+            self._open = False
+        self.commit()
+
+    def atomic(self, change: Callable[[Store], T], tries: int = 20) -> T:
+        """change(store), computed from the newest state and published only if that state is still the newest; else tried again."""
+        for _ in range(tries):
+            self.refresh()
+            try:
+                with self.batch():
+                    return change(self)
+            except GraphError as e:
+                if e.code != "DATA_CONFLICT":
+                    raise
+        raise GraphError("DATA_CONFLICT", f"other writers were first {tries} times")
+
+    def info(self) -> dict:
+        """Where the store lies, its newest manifest, its size in segments, and the cluster that reads it."""
+        context = self.spark.sparkContext
+        return {"root": self.root, "manifest": self.number, "segments": sum(len(t) for t in self.tables.values()), "snapshots": self.snapshots(), "master": context.master, "application": context.applicationId, "spark": context.version}
+
     # Segments
 
     def _table(self, space: Space, schema: Schema) -> list[dict]:
         return self.tables.setdefault(f"{space.id}/{schema.id}", [])
 
     def _write(self, space: Space, schema: Schema, rows: DataFrame, gone: bool = False, replace: bool = False) -> None:
+        """Adds a segment, and to every index that has been built what the segment changes in it, in one commit."""
         if not space.writable:
             raise GraphError("WRITE_STALLED", space.name)
         table = self._table(space, schema)
         path = f"{self.root}/data/{space.id}/{schema.id}/{uuid.uuid4().hex}"
         rows.sortWithinPartitions(*keys_of(schema)).write.parquet(path)
-        entry = {"path": path, "seq": max((s["seq"] for s in table), default=0) + 1, "gone": gone, "versions": len(schema.versions)}
-        self.tables[f"{space.id}/{schema.id}"] = [entry] if replace else [*table, entry]
-        self.commit()
+        last = max((s["seq"] for s in table), default=0)
+        entry = {"path": path, "seq": last + 1, "gone": gone, "versions": len(schema.versions)}
+        with self.batch():
+            self.tables[f"{space.id}/{schema.id}"] = [{**entry, "upto": last}] if replace else [*table, entry]
+            for index in self.catalog.indexes_of(space.name, schema.name):
+                kept = self.tables.get(key := f"index/{space.id}/{index.id}")
+                if kept is not None:
+                    self.tables[key] = [self._indexed(space, schema, index, entry)] if replace else [*kept, self._indexed(space, schema, index, entry)]
+
+    def _newest(self, segments: list[dict], keys: list[str], columns: dict[str, DataType], space: Space) -> DataFrame:
+        """The newest row of each key.
+
+        The first segment, by far the largest once a table has been compacted, is only cleared of the keys of later ones,
+        so filters on it reach its scan; the later ones are merged by key.
+        """
+        kinds = {k: LongType() if k == "_rank" else vid_type(space.vid).stored for k in keys}
+        if not segments:
+            return self.spark.createDataFrame([], StructType([StructField(n, t) for n, t in {**kinds, **columns}.items()]))
+        whole = StructType([StructField(n, t) for n, t in {**kinds, **columns}.items()])
+        read = lambda s: self.spark.read.schema(whole).parquet(s["path"])  # noqa: E731  what a segment lacks is null
+        first, later = segments[0], segments[1:]
+        base = read(first) if not first["gone"] else read(first).limit(0)
+        if not later:
+            return base
+        rows = reduce(lambda a, b: a.unionByName(b), [read(s).withColumns({SEQUENCE: F.lit(s["seq"]), GONE: F.lit(s["gone"])}) for s in later])
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(GONE, *columns), SEQUENCE).alias("_row"))
+        new = newest.where(f"NOT _row.{GONE}").select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in columns])
+        return base.join(newest.select(*keys), keys, "left_anti").unionByName(new)
 
     def _physical(self, schema: Schema, rows: DataFrame) -> DataFrame:
         """Logical rows of the current version as columns on disk."""
         last = schema.latest
         return rows.select(*keys_of(schema), F.lit(len(schema.versions) - 1).alias(VERSION), *[F.col(p.name).cast(p.parsed.stored).alias(_column(p)) for p in last.props])
 
+    def _columns(self, schema: Schema) -> dict[str, DataType]:
+        return {VERSION: IntegerType(), **{_column(p): p.parsed.stored for v in schema.versions for p in v.props}}
+
     def _merged(self, space: Space, schema: Schema) -> DataFrame:
         """The newest row of each key, as on disk."""
-        keys, segments = keys_of(schema), self._table(space, schema)
-        every = {_column(p): p.parsed.stored for v in schema.versions for p in v.props}
-        vid = vid_type(space.vid).stored
-        kinds = {k: "bigint" if k == "_rank" else vid.simpleString() for k in keys}
-        empty = self.spark.createDataFrame([], ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), f"{VERSION} int", *(f"`{c}` {t.simpleString()}" for c, t in every.items())]))
-        if not segments:
-            return empty
-        parts = []
-        for s in segments:
-            rows = self.spark.read.parquet(s["path"])
-            rows = rows.select(*keys, *[(F.col(c) if c in rows.columns else F.lit(None).cast(t)).alias(c) for c, t in ((VERSION, "int"), *every.items())])
-            parts.append(rows.withColumn(SEQUENCE, F.lit(s["seq"])).withColumn(GONE, F.lit(s["gone"])))
-        if len(parts) == 1:
-            return parts[0].where(~F.col(GONE)).drop(SEQUENCE, GONE)
-        rows = reduce(lambda a, b: a.unionByName(b), parts)
-        rest = [c for c in rows.columns if c not in (*keys, SEQUENCE)]
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), SEQUENCE).alias("_row")).where(f"NOT _row.{GONE}")
-        return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in (VERSION, *every)])
+        return self._newest(self._table(space, schema), keys_of(schema), self._columns(schema), space)
 
     def _value(self, schema: Schema, p: Prop) -> Column:
         """A property of the current version, from the column of the row's version."""
@@ -127,9 +180,10 @@ class Store:
         cols = [self._value(schema, p).cast(p.parsed.surfaced).alias(p.name) for p in schema.latest.props]
         return self._merged(s, schema).select(*keys_of(schema), *cols)
 
-    def graph(self, space: str, now: int | None = None) -> Graph:
+    def graph(self, space: str, now: int | None = None, names: list[str] | None = None) -> Graph:
+        """The space's tables, or some of them."""
         made: dict[str, dict[str, Table]] = {"tag": {}, "edge": {}}
-        for schema in sorted(self.catalog.space(space).schemas.values(), key=lambda x: x.id):
+        for schema in sorted((x for x in self.catalog.space(space).schemas.values() if names is None or x.name in names), key=lambda x: x.id):
             made[schema.kind][schema.name] = Table(schema.name, self.frame(space, schema.name), schema.id, schema.ttl, now)
         return Graph(made["tag"], made["edge"])
 
@@ -157,15 +211,22 @@ class Store:
         self._write(s, schema, keys.select(*keys_of(schema)).distinct(), gone=True)
 
     def delete_vertices(self, space: str, vids: DataFrame, cascade: bool = False) -> None:
-        """Deletes all tags of the vertices. Their edges stay unless cascade is set."""
-        for schema in list(self.catalog.space(space).schemas.values()):
-            if schema.kind == "tag":
-                self.delete(space, schema.name, vids)
-            elif cascade:
-                ids = vids.select("_vid").distinct()
-                edges = self._merged(self.catalog.space(space), schema).select(*KEYS)
-                gone = [edges.join(ids.withColumnRenamed("_vid", end), end, "left_semi").select(*KEYS) for end in ("_src", "_dst")]
-                self.delete(space, schema.name, gone[0].union(gone[1]))
+        """Deletes all tags of the vertices, in one commit. Their edges stay unless cascade is set."""
+        with self.batch():
+            for schema in list(self.catalog.space(space).schemas.values()):
+                if schema.kind == "tag":
+                    self.delete(space, schema.name, vids)
+                elif cascade:
+                    ids = vids.select("_vid").distinct()
+                    edges = self._merged(self.catalog.space(space), schema).select(*KEYS)
+                    gone = [edges.join(ids.withColumnRenamed("_vid", end), end, "left_semi").select(*KEYS) for end in ("_src", "_dst")]
+                    self.delete(space, schema.name, gone[0].union(gone[1]))
+
+    def delete_tags(self, space: str, vids: DataFrame, names: list[str]) -> None:
+        """Deletes some tags of the vertices, in one commit."""
+        with self.batch():
+            for name in names:
+                self.delete(space, name, vids)
 
     def update(self, space: str, name: str, targets: DataFrame, u: mutate.Update, now: int | None = None) -> DataFrame:
         """Applies SET items to the target keys; see mutate.update for the result."""
@@ -188,37 +249,128 @@ class Store:
         live = alive(schema.ttl, now)
         self._write(s, schema, self._physical(schema, rows if live is None else rows.where(live)), replace=True)
 
+    def prune(self) -> int:
+        """Forgets the tables of spaces, tags, edge types and indexes that have been dropped; returns how many."""
+
+        def forget(store: Store) -> int:
+            live = {f"{s.id}/{x.id}" for s in store.catalog.spaces.values() for x in s.schemas.values()}
+            live |= {f"index/{s.id}/{x.id}" for s in store.catalog.spaces.values() for x in s.indexes.values()}
+            lost = [k for k in store.tables if k not in live]
+            for k in lost:
+                del store.tables[k]
+            return len(lost)
+
+        return self.atomic(forget)
+
     def vacuum(self) -> int:
         """Deletes folders that neither the newest manifest nor a snapshot names; returns how many. For when no older reader is left."""
-        self.refresh()
+        self.prune()
         named = [self.tables, *(json.loads(self.files.read(f"{self.root}/snapshots/{n}.json"))["tables"] for n in self.snapshots())]
         used = {seg["path"] for tables in named for table in tables.values() for seg in table}
         dropped = 0
-        for space in self.files.names(f"{self.root}/data"):
-            for table in self.files.names(f"{self.root}/data/{space}"):
-                for folder in self.files.names(f"{self.root}/data/{space}/{table}"):
-                    if (path := f"{self.root}/data/{space}/{table}/{folder}") not in used:
-                        self.files.delete(path)
-                        dropped += 1
+        for kind in ("data", "indexes"):
+            for space in self.files.names(f"{self.root}/{kind}"):
+                for table in self.files.names(f"{self.root}/{kind}/{space}"):
+                    for folder in self.files.names(f"{self.root}/{kind}/{space}/{table}"):
+                        if (path := f"{self.root}/{kind}/{space}/{table}/{folder}") not in used:
+                            self.files.delete(path)
+                            dropped += 1
         return dropped
 
+    # Indexes
+
+    def _index_columns(self, schema: Schema, index: Index) -> dict[str, DataType]:
+        """The fields of an index, and the TTL column, by which lookups leave out what has expired."""
+        names = [f.name for f in index.fields]
+        names += [schema.ttl[0]] if schema.ttl and schema.ttl[0] not in names else []
+        return {n: schema.latest.prop(n).parsed.surfaced for n in names}
+
+    def _index_rows(self, rows: DataFrame, schema: Schema, index: Index) -> DataFrame:
+        """Rows as on disk as what the index keeps of them, in the order of its fields, nulls last."""
+        columns = self._index_columns(schema, index)
+        out = rows.select(*keys_of(schema), *[self._value(schema, schema.latest.prop(n)).cast(t).alias(n) for n, t in columns.items()])
+        return out.sortWithinPartitions(*[F.asc_nulls_last(f.name) for f in index.fields], *keys_of(schema))
+
+    def _indexed(self, space: Space, schema: Schema, index: Index, segment: dict) -> dict:
+        """The index's segment for a segment of the table. Deleted keys need no rows of their own."""
+        if segment["gone"]:
+            return dict(segment)
+        path = f"{self.root}/indexes/{space.id}/{index.id}/{uuid.uuid4().hex}"
+        self._index_rows(self._newest([segment], keys_of(schema), self._columns(schema), space), schema, index).write.parquet(path)
+        return {**segment, "path": path}
+
+    def _state(self, space: str, index: str, status: str) -> None:
+        def change(store: Store) -> None:
+            store.catalog.index(space, index).status = status
+
+        try:
+            with self.batch():
+                change(self)
+        except GraphError as e:
+            if e.code != "DATA_CONFLICT":
+                raise
+            self.atomic(change)
+
     def rebuild_index(self, space: str, index: str, now: int | None = None) -> DataFrame:
-        """Writes the index's covering view anew, without expired rows, and returns it."""
-        found = self.catalog.index(space, index)
-        graph = self.graph(space, now)
-        path = f"{self.root}/indexes/{self.catalog.space(space).id}/{found.id}/{uuid.uuid4().hex}"
-        fields = [f.name for f in found.fields]
-        lookup.covering(graph, found.schema, fields).write.parquet(path)
-        self.tables[f"index/{self.catalog.space(space).id}/{found.id}"] = [{"path": path, "seq": 1, "gone": False, "versions": 0}]
-        found.status = "FINISHED"
-        self.commit()
-        return self.spark.read.parquet(path)
+        """Writes an index anew from its table, without expired rows, and returns it.
+
+        The index is BUILDING meanwhile. Segments that other writers commit while the table is read are replayed before
+        it is FINISHED; if the table was compacted meanwhile, the build begins again.
+        """
+        self._state(space, index, "BUILDING")
+        try:
+            while not self._built(space, index, now):
+                pass
+        except BaseException:
+            self._state(space, index, "STARTING")
+            raise
+        return self.view(space, index).frame
+
+    def _built(self, space: str, index: str, now: int | None) -> bool:
+        s, found = self.catalog.space(space), self.catalog.index(space, index)
+        schema = self.catalog.schema(space, found.schema)
+        read = list(self._table(s, schema))
+        rows, live = self._merged(s, schema), alive(schema.ttl, now)
+        path = f"{self.root}/indexes/{s.id}/{found.id}/{uuid.uuid4().hex}"
+        kept = self._index_rows(rows, schema, found)
+        (kept if live is None else kept.where(live)).write.parquet(path)
+        whole = {"path": path, "seq": max((x["seq"] for x in read), default=0), "gone": False, "versions": len(schema.versions)}
+        replayed: dict[int, dict] = {}
+        while True:
+            self.refresh()
+            s, found = self.catalog.space(space), self.catalog.index(space, index)
+            schema = self.catalog.schema(space, found.schema)
+            table = self._table(s, schema)
+            if table[: len(read)] != read:
+                return False
+            for x in table[len(read) :]:
+                if x["seq"] not in replayed:
+                    replayed[x["seq"]] = self._indexed(s, schema, found, x)
+            self.tables[f"index/{s.id}/{found.id}"] = [whole, *(replayed[x["seq"]] for x in table[len(read) :])]
+            found.status = "FINISHED"
+            try:
+                self.commit()
+                return True
+            except GraphError as e:
+                if e.code != "DATA_CONFLICT":
+                    raise
 
     def view(self, space: str, index: str) -> lookup.View:
-        """The index for a lookup; its covering view if it has been built."""
+        """The index for a lookup; its kept rows if it has been built and has all that was written to the table."""
+        s, found = self.catalog.space(space), self.catalog.index(space, index)
+        schema, fields = self.catalog.schema(space, found.schema), tuple(f.name for f in found.fields)
+        kept = self.tables.get(f"index/{s.id}/{found.id}")
+        newest = max((x["seq"] for x in self._table(s, schema)), default=0)
+        if found.status != "FINISHED" or not kept or kept[-1]["seq"] != newest:
+            return lookup.View(fields)
+        return lookup.View(fields, self._newest(kept, keys_of(schema), self._index_columns(schema, found), s))
+
+    def lookup(self, space: str, index: str, contexts: list[lookup.Context], returns: list[str], now: int | None = None) -> DataFrame:
+        """A lookup through an index, on the newest rows."""
         found = self.catalog.index(space, index)
-        kept = self.tables.get(f"index/{self.catalog.space(space).id}/{found.id}")
-        return lookup.View(tuple(f.name for f in found.fields), self.spark.read.parquet(kept[0]["path"]) if kept else None)
+        return lookup.lookup(self.graph(space, now, [found.schema]), found.schema, contexts, returns, self.view(space, index))
+
+    # Snapshots and copies
 
     def snapshot(self, name: str) -> None:
         """Names the current state. Segments are never changed, so a copy of the manifest is enough."""
@@ -246,18 +398,25 @@ class Store:
         """Copies catalog and data to another folder, which is a store of its own."""
         target = target.rstrip("/")
         tables = json.loads(json.dumps(self.tables).replace(json.dumps(self.root)[1:-1], json.dumps(target)[1:-1]))
-        for table in self.tables.values():
-            for seg in table:
-                self.spark.read.parquet(seg["path"]).write.parquet(seg["path"].replace(self.root, target, 1))
+        for path in sorted({seg["path"] for table in self.tables.values() for seg in table}):
+            self.spark.read.parquet(path).write.parquet(path.replace(self.root, target, 1))
         Files(self.spark).create(f"{target}/manifests/{1:010d}.json", json.dumps({"catalog": self.catalog.to_json(), "tables": tables}))
 
     def ingest(self, space: str, name: str, path: str, names: list[str] | None = None) -> DataFrame:
         """Inserts rows from Parquet files: key columns and properties."""
         return self.insert(space, name, self.spark.read.parquet(path), names)
 
-    def dump(self, space: str, name: str, vids: list | None = None, limit: int | None = None) -> DataFrame:
-        """Rows of a table, of some vertices if asked, at most `limit`."""
-        rows = self.frame(space, name)
+    def dump(self, space: str, name: str, vids: list | None = None, limit: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """Rows of a table, of some vertices or partitions if asked, at most `limit`."""
+        rows, key = self.frame(space, name), keys_of(self.catalog.schema(space, name))[0]
         if vids is not None:
-            rows = rows.where(F.col(keys_of(self.catalog.schema(space, name))[0]).isin(vids))
+            rows = rows.where(F.col(key).isin(vids))
+        if parts is not None:
+            rows = rows.where(part_of(F.col(key), self.catalog.space(space).partitions).isin(parts))
         return rows if limit is None else rows.limit(limit)
+
+    def dump_stats(self, space: str, names: list[str] | None = None, **filters) -> DataFrame:
+        """(kind, name, count): how many rows a dump of each table with the same filters has."""
+        found = [x for x in self.catalog.space(space).schemas.values() if names is None or x.name in names]
+        counts = [self.dump(space, x.name, **filters).agg(F.count(F.lit(1)).alias("count")).select(F.lit(x.kind).alias("kind"), F.lit(x.name).alias("name"), "count") for x in found]
+        return reduce(lambda a, b: a.union(b), counts)

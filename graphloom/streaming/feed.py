@@ -35,12 +35,12 @@ def follow(spark: SparkSession, log: str, files_per_batch: int = 1000) -> DataFr
 def replicate(stream: DataFrame, sink, checkpoint: str, deletes: bool = True) -> StreamingQuery:
     """Hands each batch's last entry of every key to sink(batch, number), until what is there has been read.
 
-    sink gets (name, key, op, row). Without deletes only puts are handed on, as full-text sinks want it.
+    sink gets (name, key, op, row, seq). Without deletes only puts are handed on, as full-text sinks want it.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         rows = batch if deletes else batch.where("op = 'put'")
-        last = one_of(rows.select("name", "key", "op", "row", F.col("seq").alias("_ord")), ["name", "key"], last=True)
+        last = one_of(rows.select("name", "key", "op", "row", "seq", F.col("seq").alias("_ord")), ["name", "key"], last=True)
         sink(last, number)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -56,8 +56,8 @@ def parquet_sink(path: str):
 
 
 def state(spark: SparkSession, path: str) -> DataFrame:
-    """What a parquet sink holds now: the newest entry of each key, without deleted ones."""
-    rows = spark.read.parquet(path).withColumnRenamed("batch", "_ord")
+    """What a parquet sink holds now: the entry of each key with the largest number, whatever batch it came in; no deleted ones."""
+    rows = spark.read.parquet(path).withColumnRenamed("seq", "_ord")
     return one_of(rows.select("name", "key", "op", "row", "_ord"), ["name", "key"], last=True).where("op = 'put'").drop("op")
 
 

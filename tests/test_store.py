@@ -8,9 +8,11 @@ from graphloom.errors import GraphError
 from graphloom.operators import kv, lookup, mutate
 from graphloom.operators.lookup import Context, Hint
 from graphloom.operators.mutate import Update
+from graphloom.sources.files import Files
 from graphloom.sources.joblog import JobLog
 from graphloom.sources.store import Store
 from graphloom.streaming import feed
+from graphloom.streaming.listener import Listener
 from graphloom.types import PropertyType, coerce
 
 
@@ -119,6 +121,150 @@ def test_index_snapshot_backup(spark, store, tmp_path):
     assert store.snapshots() == ["before"] and store.frame("g", "player").count() == 2
 
 
+def test_index_follows_writes(spark, store):
+    """A built index shows what was inserted, updated and deleted since, by its own rows."""
+    store.insert("g", "player", players(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
+    store.catalog.create_index("g", "by_age", "player", [IndexField("age")])
+    assert store.catalog.index("g", "by_age").status == "STARTING" and store.view("g", "by_age").frame is None
+    store.rebuild_index("g", "by_age")
+    assert store.catalog.index("g", "by_age").status == "FINISHED"
+
+    def found(low):
+        rows = store.lookup("g", "by_age", [Context((Hint("age", begin=low, range=True),))], ["_vid", "age"])
+        assert any("/indexes/" in f for f in rows.inputFiles())
+        return content(rows)
+
+    store.insert("g", "player", players(spark, ("c", "z", 5, 1)), ["name", "age"])
+    assert found(2) == [("b", 2), ("c", 5)]
+    store.update("g", "player", spark.createDataFrame([("b",)], "_vid string"), Update((("age", "age - 2"),)))
+    assert found(0) == [("a", 1), ("b", 0), ("c", 5)] and found(2) == [("c", 5)]
+    store.delete("g", "player", spark.createDataFrame([("c",)], "_vid string"))
+    assert found(2) == []
+    store.insert("g", "player", players(spark, ("c", "back", 7, 1)), ["name", "age"])
+    store.compact("g", "player")
+    assert found(0) == [("a", 1), ("b", 0), ("c", 7)] and [len(t) for k, t in store.tables.items() if k.startswith("index/")] == [1]
+    plan = store.lookup("g", "by_age", [Context((Hint("age", 7),))], ["_vid"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(age,7)" in plan
+    number = store.catalog.index("g", "by_age").id
+    store.catalog.drop_index("g", "by_age")
+    store.commit()
+    assert store.files.names(f"{store.root}/indexes/1/{number}") and store.vacuum()
+    assert not store.files.names(f"{store.root}/indexes/1/{number}")
+
+
+def test_writes_during_a_rebuild_are_replayed(spark, store, monkeypatch):
+    store.insert("g", "player", players(spark, ("a", "x", 1, 1)), ["name", "age"])
+    store.catalog.create_index("g", "by_age", "player", [IndexField("age")])
+    store.commit()
+    other, plain, states = Store(spark, store.root), Store._index_rows, []
+
+    def meanwhile(self, rows, schema, index):
+        if self is store and not states:
+            other.refresh()
+            states.append(other.catalog.index("g", "by_age").status)
+            other.insert("g", "player", players(spark, ("b", "y", 2, 1)), ["name", "age"])
+            other.delete("g", "player", spark.createDataFrame([("a",)], "_vid string"))
+        return plain(self, rows, schema, index)
+
+    monkeypatch.setattr(Store, "_index_rows", meanwhile)
+    assert content(store.rebuild_index("g", "by_age")) == [("b", 2)] and states == ["BUILDING"]
+    states.clear()
+    compacted = []
+
+    def compaction(self, rows, schema, index):
+        if self is store and not compacted:
+            compacted.append(1)
+            other.refresh()
+            other.compact("g", "player")
+        return plain(self, rows, schema, index)
+
+    monkeypatch.setattr(Store, "_index_rows", compaction)
+    assert content(store.rebuild_index("g", "by_age")) == [("b", 2)]
+    assert Store(spark, store.root).view("g", "by_age").frame.count() == 1
+
+
+def test_edge_index_and_batches(spark, store):
+    edges = spark.createDataFrame([("a", 1, "t", 2001), ("a", 2, "t", 2005)], "_src string, _rank long, _dst string, since long")
+    store.insert("g", "serve", edges, ["since"])
+    store.catalog.create_index("g", "by_since", "serve", [IndexField("since")])
+    store.commit()
+    log = JobLog(store)
+    job = log.add("g", "REBUILD_EDGE_INDEX")
+    assert log.run() == 1 and log.show(job).first().status == "FINISHED"
+    assert content(log.index_status("g", "edge")) == [("by_since", "FINISHED")]
+    before = store.number
+    with store.batch():
+        store.insert("g", "serve", edges.selectExpr("_src", "_rank + 10 AS _rank", "_dst", "since + 10 AS since"), ["since"])
+        store.delete("g", "serve", edges.where("since = 2001"))
+    assert store.number == before + 1
+    hits = store.lookup("g", "by_since", [Context((Hint("since", begin=2005, range=True),))], ["_rank", "since"])
+    assert content(hits) == [(2, 2005), (11, 2011), (12, 2015)]
+    with pytest.raises(ZeroDivisionError), store.batch():
+        store.delete("g", "serve", edges)
+        1 / 0  # noqa: B018
+    assert store.frame("g", "serve").count() == 3 and store.number == before + 1
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = Files(spark)
+    for k in range(20):
+        with ThreadPoolExecutor(4) as pool:
+            won = list(pool.map(lambda n, k=k: files.create(f"{tmp_path}/m/{k}.json", f"writer {n}"), range(4)))
+        assert sum(won) == 1 and files.read(f"{tmp_path}/m/{k}.json") == f"writer {won.index(True)}"
+    assert len(files.names(f"{tmp_path}/m")) == 20
+
+
+def test_atomic_changes_are_tried_again(spark, store):
+    """Compare and set: the value is read and written on one state, whatever others write."""
+    other = Store(spark, store.root)
+    store.catalog.register_setting("app", "n", 0)
+    store.commit()
+    calls = []
+
+    def grow(s):
+        n = s.catalog.get_setting("app", "n")
+        if not calls:
+            other.refresh()
+            other.catalog.set_setting("app", "n", 10)
+            other.commit()
+        calls.append(n)
+        s.catalog.set_setting("app", "n", n + 1)
+        return n + 1
+
+    assert store.atomic(grow) == 11 and calls == [0, 10]
+
+
+def test_listener_and_fulltext_rebuild(spark, store, tmp_path):
+    store.catalog.create_fulltext("g", "text", "player", ["name"])
+    with pytest.raises(GraphError, match="NOT_FOUND"):
+        Listener(store, "g")
+    store.catalog.add_listener("g", "fulltext", str(tmp_path / "text"))
+    store.commit()
+    follow = Listener(store, "g")
+    assert content(follow.tokens("player")) == []
+    store.insert("g", "player", players(spark, ("a", "old words", 1, 1), ("b", "b text", 2, 2)), ["name", "age"])
+    assert follow.catch_up() == 1 and follow.catch_up() == 0
+    store.insert("g", "player", players(spark, ("a", "New words, new", 1, 1)), ["name", "age"])
+    store.delete("g", "player", spark.createDataFrame([("b",)], "_vid string"))
+    assert follow.catch_up() == 2
+    tokens = [('{"_vid":"a"}', "name", "new"), ('{"_vid":"a"}', "name", "words")]
+    assert content(follow.tokens("player")) == tokens
+    store.compact("g", "player")
+    assert follow.catch_up() == 0 and content(follow.tokens("player")) == tokens
+    log = JobLog(store)
+    log.add("g", "REBUILD_FULLTEXT_INDEX")
+    assert log.run() == 1 and content(Listener(store, "g").tokens("player")) == tokens
+
+
+def test_dump(spark, store):
+    store.insert("g", "player", players(spark, *((f"v{k}", "n", k, k) for k in range(20))), ["name", "age"])
+    parts = [store.dump("g", "player", parts=[p]).count() for p in (1, 2, 3)]
+    assert sum(parts) == 20 and all(parts) and store.dump("g", "player", vids=["v1", "v2"]).count() == 2 and store.dump("g", "player", limit=7).count() == 7
+    assert content(store.dump_stats("g", parts=[1])) == [("edge", "serve", 0), ("tag", "player", parts[0])]
+
+
 def test_ttl_on_compaction(spark, store):
     store.catalog.create("g", "tag", "seen", [Prop("at", "TIMESTAMP", True)], "at", 10)
     store.insert("g", "seen", spark.createDataFrame([("a", 100), ("b", 200), ("c", None)], "_vid string, at long"))
