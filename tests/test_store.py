@@ -20,13 +20,13 @@ from graphloom.types import PropertyType, coerce
 def store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store"))
     s.catalog.create_space("g", 3, 1, "FIXED_STRING(16)")
-    s.catalog.create("g", "tag", "player", [Prop("name", "STRING", default="''"), Prop("age", "INT64"), Prop("titles", "INT64", True)])
-    s.catalog.create("g", "edge", "serve", [Prop("since", "INT64", default="2020")])
+    s.catalog.create("g", "tag", "keeper", [Prop("name", "STRING", default="''"), Prop("age", "INT64"), Prop("prizes", "INT64", True)])
+    s.catalog.create("g", "edge", "tends", [Prop("since", "INT64", default="2020")])
     s.commit()
     return s
 
 
-def players(spark, *rows):
+def keepers(spark, *rows):
     return spark.createDataFrame(rows, "_vid string, name string, age long, _ord long")
 
 
@@ -35,96 +35,96 @@ def content(df):
 
 
 def test_last_write_wins_and_if_not_exists(spark, store):
-    assert store.insert("g", "player", players(spark, ("a", "x", 1, 1), ("a", "y", 2, 2), ("b", "z", 3, 3)), ["name", "age"]).count() == 0
-    assert content(store.frame("g", "player")) == [("a", "y", 2, None), ("b", "z", 3, None)]
-    store.insert("g", "player", players(spark, ("a", "no", 9, 1), ("c", "first", 4, 2), ("c", "second", 5, 3)), ["name", "age"], if_not_exists=True)
-    assert content(store.frame("g", "player")) == [("a", "y", 2, None), ("b", "z", 3, None), ("c", "first", 4, None)]
-    store.delete("g", "player", spark.createDataFrame([("b",), ("missing",)], "_vid string"))
-    store.compact("g", "player")
-    assert content(store.frame("g", "player")) == [("a", "y", 2, None), ("c", "first", 4, None)]
+    assert store.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1), ("a", "y", 2, 2), ("b", "z", 3, 3)), ["name", "age"]).count() == 0
+    assert content(store.frame("g", "keeper")) == [("a", "y", 2, None), ("b", "z", 3, None)]
+    store.insert("g", "keeper", keepers(spark, ("a", "no", 9, 1), ("c", "first", 4, 2), ("c", "second", 5, 3)), ["name", "age"], if_not_exists=True)
+    assert content(store.frame("g", "keeper")) == [("a", "y", 2, None), ("b", "z", 3, None), ("c", "first", 4, None)]
+    store.delete("g", "keeper", spark.createDataFrame([("b",), ("missing",)], "_vid string"))
+    store.compact("g", "keeper")
+    assert content(store.frame("g", "keeper")) == [("a", "y", 2, None), ("c", "first", 4, None)]
     assert store.vacuum() == 3
 
 
 def test_a_bad_row_fails_its_partition(spark, store):
     rows = spark.createDataFrame([("a", None), ("b", 1), ("c", 2), ("d", 3), ("a-very-long-vertex-id", 4)], "_vid string, age long")
-    failed = store.insert("g", "player", rows, ["age"])
+    failed = store.insert("g", "keeper", rows, ["age"])
     bad = {r.part: r.error for r in failed.collect()}
     assert set(bad.values()) <= {"NOT_NULLABLE", "INVALID_VID"} and bad
-    kept = store.frame("g", "player").select(F.pmod(F.xxhash64("_vid"), F.lit(3)) + 1).distinct().collect()
+    kept = store.frame("g", "keeper").select(F.pmod(F.xxhash64("_vid"), F.lit(3)) + 1).distinct().collect()
     assert not {r[0] for r in kept} & set(bad)
 
 
 def test_missing_values(spark, store):
-    ready = mutate.resolved(spark.createDataFrame([("a", "n")], "_vid string, name string"), ["_vid"], store.catalog.schema("g", "player").latest, ["name"])
+    ready = mutate.resolved(spark.createDataFrame([("a", "n")], "_vid string, name string"), ["_vid"], store.catalog.schema("g", "keeper").latest, ["name"])
     assert ready.first()["_error"] == "FIELD_UNSET"
     with pytest.raises(GraphError):
-        mutate.resolved(players(spark, ("a", "x", 1, 1)), ["_vid"], store.catalog.schema("g", "player").latest, ["name", "height"])
+        mutate.resolved(keepers(spark, ("a", "x", 1, 1)), ["_vid"], store.catalog.schema("g", "keeper").latest, ["name", "height"])
 
 
 def test_schema_versions(spark, store):
-    store.insert("g", "player", players(spark, ("a", "x", 1, 1)), ["name", "age"])
-    store.catalog.alter("g", "player", add=[Prop("country", "STRING", default="'America'")], change=[Prop("age", "STRING", True)], drop=["titles"])
+    store.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1)), ["name", "age"])
+    store.catalog.alter("g", "keeper", add=[Prop("region", "STRING", default="'Somewhere'")], change=[Prop("age", "STRING", True)], drop=["prizes"])
     store.commit()
-    rows = spark.createDataFrame([("b", "y", "old", "France")], "_vid string, name string, age string, country string")
-    store.insert("g", "player", rows)
-    assert content(store.frame("g", "player")) == [("a", "x", "1", "America"), ("b", "y", "old", "France")]
-    assert Store(spark, store.root).frame("g", "player").count() == 2
+    rows = spark.createDataFrame([("b", "y", "old", "Elsewhere")], "_vid string, name string, age string, region string")
+    store.insert("g", "keeper", rows)
+    assert content(store.frame("g", "keeper")) == [("a", "x", "1", "Somewhere"), ("b", "y", "old", "Elsewhere")]
+    assert Store(spark, store.root).frame("g", "keeper").count() == 2
 
 
 def test_update(spark, store):
-    store.insert("g", "player", players(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
+    store.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
     targets = spark.createDataFrame([("a",), ("b",), ("c",)], "_vid string")
-    u = Update((("age", "age + 1"), ("titles", "age * 10")), "age > 1", returns=("age", "titles"))
-    assert content(store.update("g", "player", targets, u)) == [("a", False, "FILTER_OUT", 1, None), ("b", False, "SUCCEEDED", 3, 30), ("c", False, "KEY_NOT_FOUND", None, None)]
+    u = Update((("age", "age + 1"), ("prizes", "age * 10")), "age > 1", returns=("age", "prizes"))
+    assert content(store.update("g", "keeper", targets, u)) == [("a", False, "FILTER_OUT", 1, None), ("b", False, "SUCCEEDED", 3, 30), ("c", False, "KEY_NOT_FOUND", None, None)]
     with pytest.raises(GraphError):
-        store.update("g", "player", targets, Update((("name", "'n'"),), insertable=True))
+        store.update("g", "keeper", targets, Update((("name", "'n'"),), insertable=True))
     u = Update((("age", "7"), ("name", "'new'")), "age > 100", insertable=True, returns=("age",))
-    assert content(store.update("g", "player", targets, u)) == [("a", False, "FILTER_OUT", 1), ("b", False, "FILTER_OUT", 3), ("c", True, "SUCCEEDED", 7)]
-    assert content(store.frame("g", "player")) == [("a", "x", 1, None), ("b", "y", 3, 30), ("c", "new", 7, None)]
+    assert content(store.update("g", "keeper", targets, u)) == [("a", False, "FILTER_OUT", 1), ("b", False, "FILTER_OUT", 3), ("c", True, "SUCCEEDED", 7)]
+    assert content(store.frame("g", "keeper")) == [("a", "x", 1, None), ("b", "y", 3, 30), ("c", "new", 7, None)]
 
 
 def test_edges_and_vertices(spark, store):
     edges = spark.createDataFrame([("a", 1, "t"), ("a", 2, "t"), ("b", 1, "a")], "_src string, _rank long, _dst string")
-    store.insert("g", "serve", edges, [])
-    store.insert("g", "player", players(spark, ("a", "x", 1, 1)), ["name", "age"])
+    store.insert("g", "tends", edges, [])
+    store.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1)), ["name", "age"])
     gone = spark.createDataFrame([("a",)], "_vid string")
     store.delete_vertices("g", gone)
-    assert store.frame("g", "player").count() == 0 and store.frame("g", "serve").count() == 3
+    assert store.frame("g", "keeper").count() == 0 and store.frame("g", "tends").count() == 3
     store.delete_vertices("g", gone, cascade=True)
-    assert store.frame("g", "serve").count() == 0
+    assert store.frame("g", "tends").count() == 0
 
 
 def test_writers_conflict(spark, store):
     other = Store(spark, store.root)
-    store.catalog.create("g", "tag", "team", [])
+    store.catalog.create("g", "tag", "garden", [])
     store.commit()
     with pytest.raises(GraphError, match="DATA_CONFLICT"):
-        other.insert("g", "player", players(spark, ("a", "x", 1, 1)), ["name", "age"])
-    other.insert("g", "player", players(spark, ("a", "x", 1, 1)), ["name", "age"])
-    assert "team" in other.catalog.space("g").schemas
+        other.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1)), ["name", "age"])
+    other.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1)), ["name", "age"])
+    assert "garden" in other.catalog.space("g").schemas
 
 
 def test_index_snapshot_backup(spark, store, tmp_path):
-    store.insert("g", "player", players(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
-    store.catalog.create_index("g", "by_age", "player", [IndexField("age")])
+    store.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
+    store.catalog.create_index("g", "by_age", "keeper", [IndexField("age")])
     assert content(store.rebuild_index("g", "by_age")) == [("a", 1), ("b", 2)]
     g = store.graph("g")
-    hit = lookup.lookup(g, "player", [Context((Hint("age", begin=2, range=True),))], ["_vid"], store.view("g", "by_age"))
+    hit = lookup.lookup(g, "keeper", [Context((Hint("age", begin=2, range=True),))], ["_vid"], store.view("g", "by_age"))
     assert hit.collect() == [("b",)] and all("/indexes/" in f for f in hit.inputFiles())
     store.snapshot("before")
-    store.delete("g", "player", spark.createDataFrame([("a",)], "_vid string"))
+    store.delete("g", "keeper", spark.createDataFrame([("a",)], "_vid string"))
     store.backup(str(tmp_path / "copy"))
-    assert Store(spark, str(tmp_path / "copy")).frame("g", "player").count() == 1
-    store.compact("g", "player")
+    assert Store(spark, str(tmp_path / "copy")).frame("g", "keeper").count() == 1
+    store.compact("g", "keeper")
     store.vacuum()
     store.restore("before")
-    assert store.snapshots() == ["before"] and store.frame("g", "player").count() == 2
+    assert store.snapshots() == ["before"] and store.frame("g", "keeper").count() == 2
 
 
 def test_index_follows_writes(spark, store):
     """A built index shows what was inserted, updated and deleted since, by its own rows."""
-    store.insert("g", "player", players(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
-    store.catalog.create_index("g", "by_age", "player", [IndexField("age")])
+    store.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
+    store.catalog.create_index("g", "by_age", "keeper", [IndexField("age")])
     assert store.catalog.index("g", "by_age").status == "STARTING" and store.view("g", "by_age").frame is None
     store.rebuild_index("g", "by_age")
     assert store.catalog.index("g", "by_age").status == "FINISHED"
@@ -134,14 +134,14 @@ def test_index_follows_writes(spark, store):
         assert any("/indexes/" in f for f in rows.inputFiles())
         return content(rows)
 
-    store.insert("g", "player", players(spark, ("c", "z", 5, 1)), ["name", "age"])
+    store.insert("g", "keeper", keepers(spark, ("c", "z", 5, 1)), ["name", "age"])
     assert found(2) == [("b", 2), ("c", 5)]
-    store.update("g", "player", spark.createDataFrame([("b",)], "_vid string"), Update((("age", "age - 2"),)))
+    store.update("g", "keeper", spark.createDataFrame([("b",)], "_vid string"), Update((("age", "age - 2"),)))
     assert found(0) == [("a", 1), ("b", 0), ("c", 5)] and found(2) == [("c", 5)]
-    store.delete("g", "player", spark.createDataFrame([("c",)], "_vid string"))
+    store.delete("g", "keeper", spark.createDataFrame([("c",)], "_vid string"))
     assert found(2) == []
-    store.insert("g", "player", players(spark, ("c", "back", 7, 1)), ["name", "age"])
-    store.compact("g", "player")
+    store.insert("g", "keeper", keepers(spark, ("c", "back", 7, 1)), ["name", "age"])
+    store.compact("g", "keeper")
     assert found(0) == [("a", 1), ("b", 0), ("c", 7)] and [len(t) for k, t in store.tables.items() if k.startswith("index/")] == [1]
     plan = store.lookup("g", "by_age", [Context((Hint("age", 7),))], ["_vid"])._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(age,7)" in plan
@@ -153,8 +153,8 @@ def test_index_follows_writes(spark, store):
 
 
 def test_writes_during_a_rebuild_are_replayed(spark, store, monkeypatch):
-    store.insert("g", "player", players(spark, ("a", "x", 1, 1)), ["name", "age"])
-    store.catalog.create_index("g", "by_age", "player", [IndexField("age")])
+    store.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1)), ["name", "age"])
+    store.catalog.create_index("g", "by_age", "keeper", [IndexField("age")])
     store.commit()
     other, plain, states = Store(spark, store.root), Store._index_rows, []
 
@@ -162,8 +162,8 @@ def test_writes_during_a_rebuild_are_replayed(spark, store, monkeypatch):
         if self is store and not states:
             other.refresh()
             states.append(other.catalog.index("g", "by_age").status)
-            other.insert("g", "player", players(spark, ("b", "y", 2, 1)), ["name", "age"])
-            other.delete("g", "player", spark.createDataFrame([("a",)], "_vid string"))
+            other.insert("g", "keeper", keepers(spark, ("b", "y", 2, 1)), ["name", "age"])
+            other.delete("g", "keeper", spark.createDataFrame([("a",)], "_vid string"))
         return plain(self, rows, schema, index)
 
     monkeypatch.setattr(Store, "_index_rows", meanwhile)
@@ -175,7 +175,7 @@ def test_writes_during_a_rebuild_are_replayed(spark, store, monkeypatch):
         if self is store and not compacted:
             compacted.append(1)
             other.refresh()
-            other.compact("g", "player")
+            other.compact("g", "keeper")
         return plain(self, rows, schema, index)
 
     monkeypatch.setattr(Store, "_index_rows", compaction)
@@ -185,8 +185,8 @@ def test_writes_during_a_rebuild_are_replayed(spark, store, monkeypatch):
 
 def test_edge_index_and_batches(spark, store):
     edges = spark.createDataFrame([("a", 1, "t", 2001), ("a", 2, "t", 2005)], "_src string, _rank long, _dst string, since long")
-    store.insert("g", "serve", edges, ["since"])
-    store.catalog.create_index("g", "by_since", "serve", [IndexField("since")])
+    store.insert("g", "tends", edges, ["since"])
+    store.catalog.create_index("g", "by_since", "tends", [IndexField("since")])
     store.commit()
     log = JobLog(store)
     job = log.add("g", "REBUILD_EDGE_INDEX")
@@ -194,15 +194,15 @@ def test_edge_index_and_batches(spark, store):
     assert content(log.index_status("g", "edge")) == [("by_since", "FINISHED")]
     before = store.number
     with store.batch():
-        store.insert("g", "serve", edges.selectExpr("_src", "_rank + 10 AS _rank", "_dst", "since + 10 AS since"), ["since"])
-        store.delete("g", "serve", edges.where("since = 2001"))
+        store.insert("g", "tends", edges.selectExpr("_src", "_rank + 10 AS _rank", "_dst", "since + 10 AS since"), ["since"])
+        store.delete("g", "tends", edges.where("since = 2001"))
     assert store.number == before + 1
     hits = store.lookup("g", "by_since", [Context((Hint("since", begin=2005, range=True),))], ["_rank", "since"])
     assert content(hits) == [(2, 2005), (11, 2011), (12, 2015)]
     with pytest.raises(ZeroDivisionError), store.batch():
-        store.delete("g", "serve", edges)
+        store.delete("g", "tends", edges)
         1 / 0  # noqa: B018
-    assert store.frame("g", "serve").count() == 3 and store.number == before + 1
+    assert store.frame("g", "tends").count() == 3 and store.number == before + 1
 
 
 def test_one_of_two_writers_wins(spark, tmp_path):
@@ -237,32 +237,32 @@ def test_atomic_changes_are_tried_again(spark, store):
 
 
 def test_listener_and_fulltext_rebuild(spark, store, tmp_path):
-    store.catalog.create_fulltext("g", "text", "player", ["name"])
+    store.catalog.create_fulltext("g", "text", "keeper", ["name"])
     with pytest.raises(GraphError, match="NOT_FOUND"):
         Listener(store, "g")
     store.catalog.add_listener("g", "fulltext", str(tmp_path / "text"))
     store.commit()
     follow = Listener(store, "g")
-    assert content(follow.tokens("player")) == []
-    store.insert("g", "player", players(spark, ("a", "old words", 1, 1), ("b", "b text", 2, 2)), ["name", "age"])
+    assert content(follow.tokens("keeper")) == []
+    store.insert("g", "keeper", keepers(spark, ("a", "old words", 1, 1), ("b", "b text", 2, 2)), ["name", "age"])
     assert follow.catch_up() == 1 and follow.catch_up() == 0
-    store.insert("g", "player", players(spark, ("a", "New words, new", 1, 1)), ["name", "age"])
-    store.delete("g", "player", spark.createDataFrame([("b",)], "_vid string"))
+    store.insert("g", "keeper", keepers(spark, ("a", "New words, new", 1, 1)), ["name", "age"])
+    store.delete("g", "keeper", spark.createDataFrame([("b",)], "_vid string"))
     assert follow.catch_up() == 2
     tokens = [('{"_vid":"a"}', "name", "new"), ('{"_vid":"a"}', "name", "words")]
-    assert content(follow.tokens("player")) == tokens
-    store.compact("g", "player")
-    assert follow.catch_up() == 0 and content(follow.tokens("player")) == tokens
+    assert content(follow.tokens("keeper")) == tokens
+    store.compact("g", "keeper")
+    assert follow.catch_up() == 0 and content(follow.tokens("keeper")) == tokens
     log = JobLog(store)
     log.add("g", "REBUILD_FULLTEXT_INDEX")
-    assert log.run() == 1 and content(Listener(store, "g").tokens("player")) == tokens
+    assert log.run() == 1 and content(Listener(store, "g").tokens("keeper")) == tokens
 
 
 def test_dump(spark, store):
-    store.insert("g", "player", players(spark, *((f"v{k}", "n", k, k) for k in range(20))), ["name", "age"])
-    parts = [store.dump("g", "player", parts=[p]).count() for p in (1, 2, 3)]
-    assert sum(parts) == 20 and all(parts) and store.dump("g", "player", vids=["v1", "v2"]).count() == 2 and store.dump("g", "player", limit=7).count() == 7
-    assert content(store.dump_stats("g", parts=[1])) == [("edge", "serve", 0), ("tag", "player", parts[0])]
+    store.insert("g", "keeper", keepers(spark, *((f"v{k}", "n", k, k) for k in range(20))), ["name", "age"])
+    parts = [store.dump("g", "keeper", parts=[p]).count() for p in (1, 2, 3)]
+    assert sum(parts) == 20 and all(parts) and store.dump("g", "keeper", vids=["v1", "v2"]).count() == 2 and store.dump("g", "keeper", limit=7).count() == 7
+    assert content(store.dump_stats("g", parts=[1])) == [("edge", "tends", 0), ("tag", "keeper", parts[0])]
 
 
 def test_ttl_on_compaction(spark, store):
@@ -357,8 +357,8 @@ def test_change_feed(spark, tmp_path):
 
 
 def test_job_queue(spark, store):
-    store.insert("g", "player", players(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
-    store.catalog.create_index("g", "by_name", "player", [IndexField("name", 8)])
+    store.insert("g", "keeper", keepers(spark, ("a", "x", 1, 1), ("b", "y", 2, 2)), ["name", "age"])
+    store.catalog.create_index("g", "by_name", "keeper", [IndexField("name", 8)])
     store.commit()
     log = JobLog(store)
     with pytest.raises(GraphError, match="STATS_NOT_FOUND"):
@@ -372,7 +372,7 @@ def test_job_queue(spark, store):
     assert log.run() == 2
     assert {r.id: r.status for r in log.show().collect()} == {stats: "FINISHED", rebuild: "FINISHED", wrong: "FAILED", halted: "STOPPED"}
     assert "INVALID_PARM" in log.show(wrong).first().error
-    assert content(log.statistics("g")) == [("edge", "serve", 0), ("space", "edges", 0), ("space", "vertices", 2), ("tag", "player", 2)]
+    assert content(log.statistics("g")) == [("edge", "tends", 0), ("space", "edges", 0), ("space", "vertices", 2), ("tag", "keeper", 2)]
     assert store.view("g", "by_name").frame.count() == 2
     for bad in (lambda: log.stop(halted), lambda: log.add("g", "DANCE"), lambda: log.show(99)):
         with pytest.raises(GraphError):
