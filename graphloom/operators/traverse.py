@@ -1,12 +1,13 @@
 """Neighbours of vertices: source properties, edges of several types and directions, statistics, limits and samples.
 
-One plan serves all start vertices: the edge types are united, joined once to the start vertices, filtered, and cut or
-aggregated by vertex. A limit is a window over `_vid`; Spark cuts each partition to the limit before the shuffle.
+One plan serves all start vertices: the edge types are united, filtered, and cut or aggregated by vertex. A limit is a
+window over `_vid`. Start vertices few enough to be broadcast are joined first; of many, the edges are aggregated or cut
+first, which Spark begins before it shuffles them, so that a vertex with very many edges is no task of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -51,7 +52,7 @@ class Traversal:
     order of hops, then rank and destination; `sample` picks them at random instead, seeded, and only with a limit.
     Statistics cover the edges that the plain limit leaves, but all edges if sampled. With strict, statistics treat
     nulls and no edges as the storage layer did: one null makes SUM, AVG, MIN and MAX null, and without edges SUM is 0, MIN and MAX
-    are the largest and smallest integers.
+    are the largest and smallest integers. chunk: how many edges a row of the nested form has at most.
     """
 
     direction: str = OUT
@@ -63,6 +64,7 @@ class Traversal:
     limit: int | None = None
     sample: int | None = None
     strict: bool = False
+    chunk: int | None = None
     filter_tags: tuple[str, ...] = field(default=())
 
 
@@ -97,15 +99,18 @@ def _props(graph: Graph, t: Traversal, edge: str) -> list[str]:
     return [p for p in table.props] if wanted is None else checked(table, [p for p in wanted if p not in ("_src", "_dst", "_rank", "_type")])
 
 
-def expand(graph: Graph, vids: DataFrame, t: Traversal) -> DataFrame:
-    """One row for each edge that passes: _vid, _ord (place of its hop), _type, _rank, _dst and a struct for each edge type."""
-    hops = hops_of(graph, t)
-    names = list(dict.fromkeys(h.edge for h in hops))
+def _condition(graph: Graph, t: Traversal) -> tuple[str | Column | None, list[str]]:
+    """The filter, bound, and the tags of source vertices that it reads."""
     text = t.filter if isinstance(t.filter, str) else None
-    condition = expr.bound(text, graph, names) if text else None
-    tags = list(dict.fromkeys([*(expr.sources(text) if text else ()), *t.filter_tags]))
+    names = list(dict.fromkeys(h.edge for h in hops_of(graph, t)))
+    bound = expr.bound(text, graph, names) if text else t.filter
+    return bound, list(dict.fromkeys([*(expr.sources(text) if text else ()), *t.filter_tags]))
+
+
+def _every(graph: Graph, t: Traversal) -> DataFrame:
+    """All edges of the hops, each at the vertex it is followed from; united, but not filtered."""
     parts = []
-    for n, h in enumerate(hops):
+    for n, h in enumerate(hops_of(graph, t)):
         table = graph.edge(h.edge)
         near, far = ("_dst", "_src") if h.reverse else ("_src", "_dst")
         sign = "-" if h.reverse else "+"
@@ -113,14 +118,39 @@ def expand(graph: Graph, vids: DataFrame, t: Traversal) -> DataFrame:
         row = F.struct(F.col(near).alias("_src"), F.lit(kind).alias("_type"), F.col("_rank"), F.col(far).alias("_dst"), *table.props)
         cols = [F.col(near).alias("_vid"), F.lit(n).alias("_ord"), F.lit(sign + h.edge).alias("_type"), F.col("_rank"), F.col(far).alias("_dst")]
         parts.append(table.rows().select(*cols, row.alias(expr.EDGE.format(h.edge))))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    rows = vids.join(rows, "_vid")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _passing(rows: DataFrame, condition: str | Column | None) -> DataFrame:
+    return rows if condition is None else rows.where(expr.true_only(F.expr(condition) if isinstance(condition, str) else condition))
+
+
+def expand(graph: Graph, vids: DataFrame, t: Traversal) -> DataFrame:
+    """One row for each edge that passes: _vid, _ord (place of its hop), _type, _rank, _dst and a struct for each edge type."""
+    condition, tags = _condition(graph, t)
+    rows = vids.join(_every(graph, t), "_vid")
     for tag in tags:
         table = graph.tag(tag)
         rows = rows.join(table.rows().select("_vid", F.struct(*table.props).alias(expr.SOURCE.format(tag))), "_vid", "left")
-    if t.filter is not None:
-        rows = rows.where(expr.true_only(F.expr(condition) if condition else t.filter))
-    return rows.drop(*[expr.SOURCE.format(tag) for tag in tags])
+    return _passing(rows, condition).drop(*[expr.SOURCE.format(tag) for tag in tags])
+
+
+def _small(vids: DataFrame) -> bool:
+    """Whether Spark would broadcast the start vertices, by its own estimate and bound."""
+    bound = int(vids.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").rstrip("b"))
+    return vids._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= bound
+
+
+def _reduced(graph: Graph, vids: DataFrame, t: Traversal, reduce_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """reduce_rows of the start vertices' edges, where it treats each vertex by itself.
+
+    A few start vertices are joined first, by broadcast. Many would be joined by shuffle, which brings all edges of a
+    vertex into one task: then edges are reduced first, which begins before the shuffle, and what is left is joined.
+    """
+    condition, tags = _condition(graph, t)
+    if tags or _small(vids):
+        return reduce_rows(expand(graph, vids, t))
+    return reduce_rows(_passing(_every(graph, t), condition)).join(vids, "_vid", "left_semi")
 
 
 def limited(rows: DataFrame, t: Traversal) -> DataFrame:
@@ -158,10 +188,8 @@ def _stat(graph: Graph, s: Stat, strict: bool) -> Column:
 def stats(graph: Graph, vids: DataFrame | Iterable, t: Traversal, spark: SparkSession | None = None) -> DataFrame:
     """One row for each start vertex, even without edges: _vid and the statistics."""
     vids = start(spark or next(iter(graph.edges.values())).frame.sparkSession, vids)
-    rows = expand(graph, vids, t)
-    if t.sample is None:
-        rows = limited(rows, t)
-    found = rows.groupBy("_vid").agg(*[_stat(graph, s, t.strict).alias(s.alias) for s in t.stats])
+    aggregates = [_stat(graph, s, t.strict).alias(s.alias) for s in t.stats]
+    found = _reduced(graph, vids, t, lambda rows: (limited(rows, t) if t.sample is None else rows).groupBy("_vid").agg(*aggregates))
     out = vids.join(found, "_vid", "left")
     for s in t.stats:
         f = s.function.upper()
@@ -178,7 +206,7 @@ def edges(graph: Graph, vids: DataFrame | Iterable, t: Traversal, spark: SparkSe
     Unlike the nested form it stays flat for a vertex with very many edges.
     """
     vids = start(spark or next(iter(graph.edges.values())).frame.sparkSession, vids)
-    rows = limited(expand(graph, vids, t), t)
+    rows = expand(graph, vids, t) if t.limit is None or t.limit < 0 else _reduced(graph, vids, t, lambda rows: limited(rows, t))
     names = list(dict.fromkeys(h.edge for h in hops_of(graph, t)))
     cols = [F.col(f"{expr.EDGE.format(n)}.{p}").alias(f"{n}.{p}") for n in names for p in _props(graph, t, n)]
     return rows.select("_vid", "_type", "_rank", "_dst", *cols)
@@ -189,7 +217,12 @@ def neighbors(graph: Graph, vids: DataFrame | Iterable, t: Traversal, spark: Spa
 
     Columns: _vid; _stats, a struct; `_tag:name:props`, a struct that is null if the vertex lacks the tag;
     `_edge:+name:props` for each hop, an array of structs by rank and destination; _expr, always null.
+
+    A row holds all edges of its vertex, which only a limit bounds. With t.chunk a vertex has a row for each so many of
+    its edges, numbered from 0 in a column _chunk, and the same statistics and tags in each.
     """
+    if t.chunk is not None and t.chunk < 1:
+        raise GraphError("INVALID_PARM", "a chunk holds at least one edge")
     vids = start(spark or next(iter(graph.edges.values())).frame.sparkSession, vids)
     out = vids
     tags = {} if t.tags is None else t.tags or dict.fromkeys(sorted(graph.tags, key=lambda n: graph.tags[n].id))
@@ -207,7 +240,11 @@ def neighbors(graph: Graph, vids: DataFrame | Iterable, t: Traversal, spark: Spa
         out = out.join(table.rows().select("_vid", F.struct(*props).alias(cell) if props else F.lit(None).alias(cell)), "_vid", "left")
         columns.append(cell)
     if t.edges is not None:
-        rows = limited(expand(graph, vids, t), t)
+        rows = expand(graph, vids, t) if t.limit is None or t.limit < 0 else _reduced(graph, vids, t, lambda rows: limited(rows, t))
+        if t.chunk is not None:
+            place = F.row_number().over(Window.partitionBy("_vid").orderBy("_ord", "_rank", "_dst"))
+            rows = rows.withColumn("_chunk", F.floor((place - 1) / t.chunk).cast("long"))
+            columns.insert(1, "_chunk")
         cells = []
         for n, h in enumerate(hops):
             props = (t.edges.get(h.edge) if t.edges else None) or graph.edge(h.edge).props
@@ -216,7 +253,10 @@ def neighbors(graph: Graph, vids: DataFrame | Iterable, t: Traversal, spark: Spa
             name = f"_edge:{'-' if h.reverse else '+'}{h.edge}:{':'.join(props)}"
             cells.append(F.sort_array(F.collect_list(F.when(F.col("_ord") == n, cell))).alias(name))
             columns.append(name)
-        out = out.join(rows.groupBy("_vid").agg(*cells), "_vid", "left")
+        found = rows.groupBy("_vid", *(["_chunk"] if t.chunk is not None else [])).agg(*cells)
+        out = out.join(found, "_vid", "left")
+        if t.chunk is not None:
+            out = out.withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long")))
     return out.withColumn("_expr", F.lit(None).cast("string")).select(*[f"`{c}`" for c in columns], "_expr")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,12 @@ from graphloom.operators import fetch, jobs, kv, lookup, mutate, scan, traverse
 from graphloom.operators.lookup import Context, Hint, View
 from graphloom.operators.mutate import Update
 from graphloom.operators.traverse import Hop, Stat, Traversal
-from graphloom.plans.datasets import LINE, NOW, TTL, edge, graph, read, tag, vid
+from graphloom.plans.datasets import LINE, NOW, SPACE, TTL, edge, graph, load, new_store, read, stored, tag, vid
 from graphloom.sources.files import shared_dir
 from graphloom.sources.joblog import JobLog
 from graphloom.sources.store import Store
+from graphloom.streaming import feed
+from graphloom.streaming.listener import Listener
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -540,8 +543,7 @@ def index_rebuild(spark, d):
 
 
 def _job_log(spark, d):
-    store = Store(spark, f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}/store")
-    store.catalog.create_space("shop", 6, 1, "FIXED_STRING(32)")
+    store = new_store(spark)
     store.catalog.create("shop", "tag", "customer", [Prop("name", "STRING")])
     store.catalog.create_index("shop", "by_name", "customer", [IndexField("name", 20)])
     store.commit()
@@ -564,6 +566,197 @@ def job_results(spark, d):
     return _job_log(spark, d).statistics("shop")
 
 
+# Through a store of its own: what was written is read back, by index, scan and traversal
+
+_CUSTOMER = (Prop("name", "STRING"), Prop("balance", "DOUBLE", True), Prop("segment", "STRING", default="'NONE'"))
+
+
+def _customer_rows(spark, d):
+    return read(spark, d, "customer").select(vid("c", "c_custkey").alias("_vid"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+
+
+def _indexed_store(spark, d):
+    """Half of the customers, inserted before the index is built; the other half, after."""
+    store = new_store(spark)
+    store.catalog.create(SPACE, "tag", "customer", list(_CUSTOMER))
+    store.catalog.create_index(SPACE, "by_segment", "customer", [IndexField("segment", 16), IndexField("balance")])
+    rows = _customer_rows(spark, d)
+    even = F.substring("_vid", 2, 20).cast("long") % 2 == 0
+    store.insert(SPACE, "customer", rows.where(even))
+    store.rebuild_index(SPACE, "by_segment")
+    store.insert(SPACE, "customer", rows.where(~even))
+    return store
+
+
+def _building(store, low=None):
+    hints = (Hint("segment", "BUILDING"), *(() if low is None else (Hint("balance", begin=low, range=True),)))
+    assert store.view(SPACE, "by_segment").frame is not None
+    return renamed(store.lookup(SPACE, "by_segment", [Context(hints)], ["_vid", "balance"]))
+
+
+@query("SELECT 'c' || c_custkey AS customer__vid, c_acctbal AS customer_balance FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0")
+def store_lookup_after_insert(spark, d):
+    return _building(_indexed_store(spark, d), 0.0)
+
+
+@query("""SELECT _vid AS customer__vid, balance AS customer_balance FROM (SELECT 'c' || c_custkey AS _vid, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance,
+CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 'MOVED' ELSE 'BUILDING' END ELSE c_mktsegment END AS segment FROM customer) WHERE segment = 'BUILDING'""")
+def store_lookup_after_update(spark, d):
+    store = _indexed_store(spark, d)
+    targets = read(spark, d, "customer").where("c_custkey % 3 = 0").select(vid("c", "c_custkey").alias("_vid"))
+    store.update(SPACE, "customer", targets, Update((("balance", "balance + 1"), ("segment", "if(segment = 'BUILDING', 'MOVED', 'BUILDING')"))))
+    return _building(store)
+
+
+@query("SELECT 'c' || c_custkey AS customer__vid, c_acctbal AS customer_balance FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 3 != 0")
+def store_lookup_after_delete(spark, d):
+    store = _indexed_store(spark, d)
+    store.delete_vertices(SPACE, read(spark, d, "customer").where("c_custkey % 3 = 0").select(vid("c", "c_custkey").alias("_vid")))
+    return _building(store)
+
+
+@query("SELECT 'c' || c_custkey AS customer__vid, c_acctbal AS customer_balance FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 3 != 0")
+def store_lookup_after_compaction(spark, d):
+    store = _indexed_store(spark, d)
+    store.delete(SPACE, "customer", read(spark, d, "customer").where("c_custkey % 3 = 0").select(vid("c", "c_custkey").alias("_vid")))
+    store.compact(SPACE, "customer")
+    return _building(store)
+
+
+def _order_store(spark, d):
+    store = new_store(spark)
+    load(store, spark, d, "placed")
+    store.catalog.create_index(SPACE, "by_status", "placed", [IndexField("o_orderstatus", 4), IndexField("o_totalprice")])
+    store.commit()
+    return store
+
+
+@query("SELECT 'by_status' AS name, 'FINISHED' AS status, 'FINISHED' AS job, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 200000) AS n")
+def store_rebuild_edge_index(spark, d):
+    store = _order_store(spark, d)
+    log = JobLog(store)
+    job = log.add(SPACE, "REBUILD_EDGE_INDEX", "by_status")
+    log.run()
+    hints = (Hint("o_orderstatus", "F"), Hint("o_totalprice", begin=200000.0, range=True))
+    n = store.lookup(SPACE, "by_status", [Context(hints)], ["_rank"]).agg(F.count(F.lit(1)).alias("n"))
+    return log.index_status(SPACE, "edge").crossJoin(log.show(job).select(F.col("status").alias("job"))).crossJoin(n)  # one row each
+
+
+@query(f"SELECT _src, _rank, _dst, o_totalprice FROM ({_PLACED}) WHERE o_orderkey % 4 != 0 UNION ALL SELECT _src, 7, _dst, o_totalprice + 1 FROM ({_PLACED}) WHERE o_orderkey % 4 = 0")
+def store_batch(spark, d):
+    """Edges put and others removed in one commit."""
+    store, some = _order_store(spark, d), read(spark, d, "orders").where("o_orderkey % 4 = 0")
+    keys = some.select(vid("c", "o_custkey").alias("_src"), F.lit(0).cast("long").alias("_rank"), vid("o", "o_orderkey").alias("_dst"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    with store.batch():
+        store.delete(SPACE, "placed", keys)
+        store.insert(SPACE, "placed", keys.withColumn("_rank", F.lit(7).cast("long")), ["o_totalprice"])
+    return store.frame(SPACE, "placed").select(*_EDGE_KEYS, "o_totalprice")
+
+
+@query(f"SELECT _src, _rank, _dst, true AS _inserted, 'SUCCEEDED' AS _status, 1.0 AS o_totalprice FROM (SELECT _src, CAST(5 AS BIGINT) AS _rank, _dst FROM ({_PLACED}) WHERE o_orderkey % 5 = 0) UNION ALL SELECT _src, _rank, _dst, false, CASE WHEN o_totalprice > 100000 THEN 'SUCCEEDED' ELSE 'FILTER_OUT' END, CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE o_totalprice END FROM ({_PLACED}) WHERE o_orderkey % 5 = 0")
+def store_upsert_edge(spark, d):
+    """The values that an upsert of edges returns: new ones, changed ones, and old ones where the condition fails."""
+    store, some = _order_store(spark, d), read(spark, d, "orders").where("o_orderkey % 5 = 0")
+    keys = some.select(vid("c", "o_custkey").alias("_src"), F.explode(F.array(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("_rank"), vid("o", "o_orderkey").alias("_dst"))
+    u = Update((("o_totalprice", "1.0D"),), "o_totalprice > 100000", insertable=True, returns=("o_totalprice",))
+    return store.update(SPACE, "placed", keys, u)
+
+
+@query("SELECT 'c' || c_custkey AS _vid, c_name AS name FROM customer WHERE c_custkey % 3 = 0")
+def store_snapshot_restore(spark, d):
+    store = new_store(spark)
+    store.catalog.create(SPACE, "tag", "customer", list(_CUSTOMER))
+    rows = _customer_rows(spark, d)
+    store.insert(SPACE, "customer", rows.where("CAST(substr(_vid, 2) AS long) % 3 = 0"))
+    store.snapshot("third")
+    store.insert(SPACE, "customer", rows)
+    store.restore("third")
+    return store.frame(SPACE, "customer").select("_vid", "name")
+
+
+@query("SELECT 'c' || c_custkey AS _vid, c_name AS name FROM customer")
+def store_backup_ingest(spark, d):
+    """Rows of files, ingested, backed up into a store of its own and read there."""
+    store = new_store(spark)
+    store.catalog.create(SPACE, "tag", "customer", list(_CUSTOMER))
+    files = f"{store.root}-files"
+    _customer_rows(spark, d).write.parquet(files)
+    store.ingest(SPACE, "customer", files)
+    store.backup(f"{store.root}-copy")
+    return Store(spark, f"{store.root}-copy").frame(SPACE, "customer").select("_vid", "name")
+
+
+@query("SELECT 'tag' AS kind, 'customer' AS name, count(*) AS count FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'edge', 'placed', count(*) FROM orders")
+def store_compaction_filter(spark, d):
+    """What a space holds once a dropped tag, expired rows and deleted ones have been cleared away."""
+    store = _order_store(spark, d)
+    props = [Prop("balance", "DOUBLE"), Prop("at", "INT64")]
+    store.catalog.create(SPACE, "tag", "customer", props, "at", 10)
+    store.catalog.create(SPACE, "tag", "lost", [])
+    rows = read(spark, d, "customer").select(vid("c", "c_custkey").alias("_vid"), F.col("c_acctbal").alias("balance"), F.when(F.col("c_acctbal") < 0, 0).otherwise(1000).cast("long").alias("at"))
+    store.insert(SPACE, "customer", rows)
+    store.insert(SPACE, "lost", rows.select("_vid"))
+    store.catalog.drop(SPACE, "lost", "tag")
+    store.commit()
+    log = JobLog(store)
+    log.add(SPACE, "COMPACT")
+    log.run(now=500)
+    store.vacuum()
+    return store.dump_stats(SPACE)
+
+
+@query("SELECT token, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS token FROM part WHERE p_partkey % 5 != 0) GROUP BY 1")
+def store_fulltext(spark, d):
+    """Tokens that a listener keeps of what the store's writes committed, deletes included; rebuilt by a job."""
+    store = new_store(spark)
+    store.catalog.create(SPACE, "tag", "part", [Prop("name", "STRING")])
+    store.catalog.create_fulltext(SPACE, "names", "part", ["name"])
+    store.catalog.add_listener(SPACE, "fulltext", f"{store.root}-text")
+    rows = read(spark, d, "part").select(vid("p", "p_partkey").alias("_vid"), F.col("p_name").alias("name"))
+    store.insert(SPACE, "part", rows.withColumn("name", F.lit("old text")))
+    Listener(store, SPACE).catch_up()
+    store.insert(SPACE, "part", rows)
+    store.delete(SPACE, "part", rows.where("CAST(substr(_vid, 2) AS long) % 5 = 0"))
+    log = JobLog(store)
+    log.add(SPACE, "REBUILD_FULLTEXT_INDEX")
+    log.run()
+    return Listener(store, SPACE).tokens("part").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT part, count(*) AS n FROM (SELECT c_custkey % 1 AS part FROM customer) GROUP BY 1")
+def store_dump_parts(spark, d):
+    """The dumps of all partitions together are the table."""
+    store = stored(spark, d, ("customer",))
+    parts = [store.dump(SPACE, "customer", parts=[p]).select(F.lit(0).cast("long").alias("part")) for p in range(1, 7)]
+    return reduce(lambda a, b: a.union(b), parts).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT (extract(epoch FROM time_bucket(INTERVAL 1 HOUR, ts)) / 3600)::BIGINT AS hour, event_type AS name, 'put' AS op, count(*) AS n FROM events GROUP BY 1, 2")
+def feed_activity(spark, d):
+    """Entries of a change feed counted by hour: a stream with a watermark, followed until all has been read."""
+    root = f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-feed"
+    rows = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.lit("put").alias("op"), F.col("event_type").alias("name"), F.to_json(F.struct("event_id")).alias("key"), F.lit(None).cast("string").alias("row"), F.col("ts").cast("timestamp").alias("ts"))
+    feed.append(f"{root}/log", rows)
+    counted = feed.activity(feed.follow(spark, f"{root}/log"), late="3650 days")
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/sink/batch={number:010d}")
+    counted.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(f"{root}/sink")
+    newest = kept.groupBy("start", "name", "op").agg(F.max_by("n", "batch").alias("n"))
+    return newest.select(F.floor(F.unix_timestamp("start") / 3600).alias("hour"), "name", "op", "n")
+
+
+@query("SELECT 'p' || p_partkey AS key, p_brand AS row FROM part WHERE p_partkey % 3 != 0")
+def feed_state(spark, d):
+    """The newest entry of each key, though the entries arrive with the older ones last."""
+    root = f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-feed"
+    part = read(spark, d, "part")
+    entry = lambda rows, seq, op, row: rows.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit("part").alias("name"), vid("p", "p_partkey").alias("key"), row.cast("string").alias("row"), F.current_timestamp().alias("ts"))
+    for entries in (entry(part.where("p_partkey % 3 = 0"), 3, "delete", F.lit(None)), entry(part, 2, "put", F.col("p_brand")), entry(part, 1, "put", F.col("p_name"))):
+        feed.append(f"{root}/log", entries)
+        feed.replicate(feed.follow(spark, f"{root}/log"), feed.parquet_sink(f"{root}/sink"), f"{root}/checkpoint").awaitTermination()
+    return feed.state(spark, f"{root}/sink").select("key", "row")
+
+
 # The catalog
 
 
@@ -597,6 +790,58 @@ def catalog_indexes(spark, d):
     return _catalog().list_indexes(spark, "shop", "tag")
 
 
+def _staffed() -> Catalog:
+    c = _catalog()
+    for account in ("ann", "bob", "cem"):
+        c.create_user(account, f"secret of {account}")
+    c.grant_role("ann", "shop", "ADMIN")
+    c.grant_role("bob", "shop", "GUEST")
+    c.grant_role("bob", "shop", "USER")
+    c.drop_user("cem")
+    for k in range(4):
+        c.heartbeat(f"host{k}", 100 * k)
+    c.add_zone("east", ["host0", "host1"])
+    c.add_zone("west", ["host2", "host3"])
+    c.add_group("both", ["east", "west"])
+    return c
+
+
+@query("SELECT * FROM (VALUES ('ann', 'shop', 'ADMIN', true, true, false), ('bob', 'shop', 'USER', true, true, false)) t(account, space, role, may_read, right_password, wrong_password)")
+def catalog_users(spark, d):
+    c = _staffed()
+    rows = [(r.account, r.space, r.role, c.may(r.account, "shop", "GUEST"), c.authenticate(r.account, f"secret of {r.account}"), c.authenticate(r.account, "guess")) for r in c.list_roles(spark, "shop").collect()]  # two
+    return spark.createDataFrame(rows, "account string, space string, role string, may_read boolean, right_password boolean, wrong_password boolean")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'ann', '1', 'scan', 'RUNNING'), (1, 'ann', '2', 'walk', 'KILLING')) t(session, account, query, text, status)")
+def catalog_sessions(spark, d):
+    c = _staffed()
+    one, two = c.create_session("ann", "desk", 100), c.create_session("bob", "phone", 100)
+    c.update_session(one, 110, "shop", {"1": "scan", "2": "walk"})
+    c.kill_query(one, 2)
+    c.remove_session(two)
+    return c.list_queries(spark)
+
+
+@query("SELECT 'east' AS name, ['host0', 'host1'] AS hosts, ['OFFLINE', 'OFFLINE'] AS states UNION ALL SELECT 'west', ['host2', 'host3'], ['ONLINE', 'ONLINE']")
+def catalog_zones(spark, d):
+    c = _staffed()
+    states = c.list_hosts(spark, now=310, alive_for=150)
+    rows = c.list_zones(spark).select("name", F.posexplode("hosts").alias("k", "host")).join(F.broadcast(states), "host")  # a row for each host
+    lists = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "host", "status"))).alias("x"))
+    return lists.select("name", F.col("x.host").alias("hosts"), F.col("x.status").alias("states"))
+
+
+@query("SELECT CAST(p AS INTEGER) AS part, 'host' || ((p - 1) % 4) AS leader FROM range(1, 7) t(p)")
+def catalog_parts(spark, d):
+    return _staffed().list_parts(spark, "shop").select("part", "leader")
+
+
+@query("SELECT * FROM (VALUES ('space', 1), ('tag', 1), ('edge', 1), ('tag index', 1), ('user', 2), ('host', 4), ('zone', 2), ('group', 1)) t(kind, n)")
+def catalog_dump(spark, d):
+    return _staffed().describe(spark).groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 # Extensions
 
 
