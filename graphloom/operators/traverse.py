@@ -122,7 +122,8 @@ def _every(graph: Graph, t: Traversal) -> DataFrame:
 
 
 def _passing(rows: DataFrame, condition: str | Column | None) -> DataFrame:
-    return rows if condition is None else rows.where(expr.true_only(F.expr(condition) if isinstance(condition, str) else condition))
+    """The rows for which the condition is true; a null is not. Bare, so that it reaches the scan."""
+    return rows if condition is None else rows.where(condition)
 
 
 def expand(graph: Graph, vids: DataFrame, t: Traversal) -> DataFrame:
