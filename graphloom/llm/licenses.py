@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import text_of
 
 GAP = 3
-ANCHORS = ("licen", "copyright", "redistribut", "warrant", "permission", "domain", "reserved", "cc0")
+ANCHORS = ("licen", "copyright", "redistribut", "warrant", "permission", "domain", "reserved", "cc0", "liable", "liability")
 
 
 def _gnu(kind: str, tail: str, terms: str = "") -> tuple[str, ...]:
@@ -75,10 +75,42 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "isc-notice": ("Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
     "isc-grant": tuple(f"Permission to use, copy, modify, {both} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies" for both in ("and/or", "and")),
     "no-warranty": ("The software is provided as is, without warranty of any kind", "This program comes with absolutely no warranty", 'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement', *(f'This software is provided by the {who} "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed' for who in ("copyright holders and contributors", "author and contributors", "regents and contributors")), "This program is distributed in the hope that it will be useful, but without any warranty", 'The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness'),
+    "mit-liability": ("In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software",),
+    "bsd-liability": (
+        *(f"In no event shall the {who} be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services" for who in ("copyright holder or contributors", "copyright holders or contributors", "copyright owner or contributors", "author or contributors", "regents or contributors")),
+        "or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage",
+    ),
+    "isc-liability": ("In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software",),
+    "apache-rest": (
+        "You may obtain a copy of the License at",
+        *(f"{p}://www.apache.org/licenses/LICENSE-2.0" for p in ("http", "https")),
+        *(f"You may obtain a copy of the License at {p}://www.apache.org/licenses/LICENSE-2.0" for p in ("http", "https")),
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+        "See the License for the specific language governing permissions and limitations under the License",
+    ),
+    "apache-body": (
+        '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document',
+        '"Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License',
+        '"You" (or "Your") shall mean an individual or Legal Entity exercising permissions granted by this License',
+        "Grant of Copyright License",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+        "Grant of Patent License",
+        "Redistribution",
+        "You must give any other recipients of the Work or Derivative Works a copy of this License",
+        "Disclaimer of Warranty",
+        "Accepting Warranty or Additional Liability",
+    ),
+    "gpl-rest": (
+        "without even the implied warranty of merchantability or fitness for a particular purpose",
+        *(f"See the GNU {kind}General Public License for more details" for kind in ("", "Lesser ", "Affero ")),
+        *(f"You should have received a copy of the GNU {kind}General Public License along with this {what}" for kind in ("", "Lesser ", "Affero ") for what in ("program", "library", "software")),
+        *(f"If not, see {p}://www.gnu.org/licenses/" for p in ("http", "https")),
+    ),
     "all-rights": ("All rights reserved", "Copyright, all rights reserved", "All rights reserved under copyright"),
 }
 
-#: Licence and its identifiers, in the order in which they are tried.
+#: Licence and its identifiers, in the order in which they are tried. One with a star and a number may follow any number
+#: of times, each after up to so many unknown sentences: the rest of a text that has been recognised already.
 _BASE: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd3-title", "bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd2-title", "bsd-redistribution", "bsd-source", "bsd-binary")),
@@ -98,10 +130,12 @@ _BASE: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-2.0-or-later", ("gpl2-later-notice",)),
     ("LGPL-3.0-or-later", ("lgpl3-later-notice",)),
     ("AGPL-3.0-or-later", ("agpl3-later-notice",)),
-    ("MIT", ("mit-title", "mit-grant")),
+    ("MIT", ("mit-title", "mit-grant", "mit-include*3", "no-warranty*3", "mit-liability*3")),
     ("MIT", ("mit-title", "no-warranty")),
-    ("MIT", ("mit-grant",)),
-    ("Apache-2.0", ("apache-title", "apache-notice")),
+    ("MIT", ("mit-grant", "mit-include*3", "no-warranty*3", "mit-liability*3")),
+    ("MIT", ("mit-include", "no-warranty", "mit-liability")),
+    ("Apache-2.0", ("apache-title", "apache-body*80", "apache-notice", "apache-terms*3", "apache-rest*3")),
+    ("Apache-2.0", ("apache-body", "apache-body", "apache-body*80", "apache-notice*80", "apache-terms*3", "apache-rest*3")),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-title",)),
     ("Apache-2.0", ("apache-notice",)),
@@ -136,9 +170,11 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (*((name, v) for name, ids in _
 
 _CUT = "[.;!?]+(?:[\\x20\\x09-\\x0D]+|$)|[\\x0A\\x0D]+"
 _OTHER = "[^a-z0-9]+"
-_CODES = {i: chr((65 if k < 26 else 71) + k) for k, i in enumerate(SENTENCES)}
+#: One character for each identifier: letters of a script that has enough of them.
+_FIRST_CODE = 0x4E00
+_CODES = {i: chr(_FIRST_CODE + k) for k, i in enumerate(SENTENCES)}
+_ANY_CODE = f"[{chr(_FIRST_CODE)}-{chr(_FIRST_CODE + len(_CODES) - 1)}]"
 _UNKNOWN = "0"
-assert len(_CODES) <= 52
 
 
 def normalised(sentence: str) -> str:
@@ -150,7 +186,12 @@ assert all(any(a in w for w in s.split() for a in ANCHORS) for s in _KNOWN)
 
 
 def _rule(ids: tuple[str, ...]) -> str:
-    return f"{_UNKNOWN}{{0,{GAP}}}".join(_CODES[i] for i in ids)
+    out = _CODES[ids[0]]
+    for i in ids[1:]:
+        name, _, gap = i.partition("*")
+        step = f"{_UNKNOWN}{{0,{gap or GAP}}}{_CODES[name]}"
+        out += f"(?:{step})*" if gap else step
+    return out
 
 
 _ANY_RULE = "|".join(_rule(ids) for _, ids in RULES)
@@ -188,7 +229,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     name = F.create_map(*[F.lit(x) for i, c in _CODES.items() for x in (c, i)])
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", _codes().alias("codes"))
-    ids = F.transform(F.regexp_extract_all("codes", F.lit("[A-Za-z]"), F.lit(0)), lambda c: F.element_at(name, c))
+    ids = F.transform(F.regexp_extract_all("codes", F.lit(_ANY_CODE), F.lit(0)), lambda c: F.element_at(name, c))
     which = lambda m: reduce(lambda rest, r: F.when(m.rlike(f"^(?:{_rule(r[1])})$"), F.lit(r[0])).otherwise(rest), reversed(RULES), F.lit(None).cast("string"))
     found = F.transform(F.regexp_extract_all("codes", F.lit(_ANY_RULE), F.lit(0)), which)
     return rows.select(F.col("id").alias(id_col), F.size(ids).cast("long").alias("n_sentences"), F.array_join(ids, ",").alias("sentence_ids"), F.array_join(found, ",").alias("licenses"))
@@ -203,7 +244,7 @@ def _oracle() -> str:
     return f"""
 WITH docs AS (SELECT doc_id, array_to_string(list_transform(string_split_regex(coalesce(text, ''), '{_CUT}'), lambda s:
     CASE WHEN {plain} = '' THEN '' ELSE coalesce({known}[{plain}], '{_UNKNOWN}') END), '') AS codes FROM documents),
-ids AS (SELECT doc_id, codes, list_transform(regexp_extract_all(codes, '[A-Za-z]'), lambda c: {names}[c]) AS ids FROM docs)
+ids AS (SELECT doc_id, codes, list_transform(regexp_extract_all(codes, '{_ANY_CODE}'), lambda c: {names}[c]) AS ids FROM docs)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
   array_to_string(list_transform(regexp_extract_all(codes, {quoted(_ANY_RULE)}), lambda m: {which}), ',') AS licenses
 FROM ids
