@@ -110,7 +110,8 @@ SENTENCES: dict[str, tuple[str, ...]] = {
 }
 
 #: Licence and its identifiers, in the order in which they are tried. One with a star and a number may follow any number
-#: of times, each after up to so many unknown sentences: the rest of a text that has been recognised already.
+#: of times, each after up to so many unknown sentences: the rest of a text that has been recognised already. One with a
+#: plus follows once, after up to so many.
 _BASE: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd3-title", "bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd2-title", "bsd-redistribution", "bsd-source", "bsd-binary")),
@@ -134,8 +135,9 @@ _BASE: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-title", "no-warranty")),
     ("MIT", ("mit-grant", "mit-include*3", "no-warranty*3", "mit-liability*3")),
     ("MIT", ("mit-include", "no-warranty", "mit-liability")),
-    ("Apache-2.0", ("apache-title", "apache-body*80", "apache-notice", "apache-terms*3", "apache-rest*3")),
+    ("Apache-2.0", ("apache-title", "apache-body+80", "apache-body*80", "apache-notice*80", "apache-terms*3", "apache-rest*3")),
     ("Apache-2.0", ("apache-body", "apache-body", "apache-body*80", "apache-notice*80", "apache-terms*3", "apache-rest*3")),
+    ("Apache-2.0", ("apache-title", "apache-notice", "apache-terms*3", "apache-rest*3")),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-title",)),
     ("Apache-2.0", ("apache-notice",)),
@@ -188,9 +190,9 @@ assert all(any(a in w for w in s.split() for a in ANCHORS) for s in _KNOWN)
 def _rule(ids: tuple[str, ...]) -> str:
     out = _CODES[ids[0]]
     for i in ids[1:]:
-        name, _, gap = i.partition("*")
+        name, sign, gap = re.fullmatch(r"([a-z0-9-]+)([*+]?)(\d*)", i).groups()
         step = f"{_UNKNOWN}{{0,{gap or GAP}}}{_CODES[name]}"
-        out += f"(?:{step})*" if gap else step
+        out += f"(?:{step})*" if sign == "*" else step
     return out
 
 
