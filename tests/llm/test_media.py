@@ -85,3 +85,31 @@ def test_rows(odd, odd_rows, empty):
 def test_tensor_column(odd):
     got = media.tensors(media.encoded(odd.where("doc_id < 5"))).collect()
     assert all(len(r.rgb) == r.height * r.width * 3 for r in got) and len(got) >= 4
+
+
+def test_colour_against_loops():
+    """The tensor's red, green and blue, pixel by pixel: cosines of the payload's coefficients summed in plain numbers."""
+    import math
+
+    raw = media.payload("Colour of a text, äöü: 0123456789.".encode() * 20)
+    (image,) = media.load(media.store([raw])[0])
+    file = jpeg.Batch(media.store([raw])[0]).files[0]
+    zigzag = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[sum(x) % 2 == 0]))
+    values = [b - 130 if b < 128 else b - 126 for b in raw]
+    blocks = [values[k : k + 64] for k in range(0, len(values), 64)]
+
+    def sample(block, r, c):
+        """One sample of a block of coefficients in zigzag order; a block beyond the payload is mid-grey."""
+        total = sum(v * (0.5**0.5 if not i else 1) * (0.5**0.5 if not j else 1) * math.cos((2 * r + 1) * i * math.pi / 16) * math.cos((2 * c + 1) * j * math.pi / 16) for v, (i, j) in zip(block, zigzag, strict=True)) / 4 + 128
+        return max(0, min(255, math.floor(total + 0.5)))
+
+    clamp = lambda x: max(0, min(255, math.floor(x + 0.5)))
+    rnd = np.random.default_rng(4)
+    for _ in range(150):
+        r, c = int(rnd.integers(image.rgb.shape[0])), int(rnd.integers(image.rgb.shape[1]))
+        unit = (r // 16) * file.across + c // 16
+        of = lambda k, u=unit: blocks[6 * u + k] if 6 * u + k < len(blocks) else [0] * 64
+        y = sample(of((r % 16) // 8 * 2 + (c % 16) // 8), r % 8, c % 8)
+        cb, cr = (sample(of(k), (r % 16) // 2, (c % 16) // 2) - 128 for k in (4, 5))
+        rgb = clamp(y + 1.402 * cr), clamp(y - 0.344136 * cb - 0.714136 * cr), clamp(y + 1.772 * cb)
+        assert all(abs(int(a) - b) <= 2 for a, b in zip(image.rgb[r, c], rgb, strict=True)), (r, c, tuple(image.rgb[r, c]), rgb)
