@@ -104,6 +104,11 @@ def test_one_row_of_each_group(spark):
     assert sorted((k for k in named if k[0] is not None)) == [(2, "r"), (5, "p"), (5, "q"), (7, "t")] and len(named) == 8
 
 
+def test_pivots_are_apart():
+    apart = {(int(a) ^ int(b)).bit_count() for k, a in enumerate(simhash.PIVOTS) for b in simhash.PIVOTS[:k]}
+    assert apart == {32} and simhash.PIVOTS[0] == 0
+
+
 def test_empty(empty):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.deduplicate(empty).collect() == []
 
