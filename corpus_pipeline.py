@@ -13,27 +13,45 @@ from graphloom.llm.common import documents, materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts.
+
+    Null and empty texts are judged as empty ones; null ids, ties and repeated rows are judged by their text alone; with
+    nothing to learn from, or an empty table, what comes in goes out.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; rows without an id come last."""
+    """One document of each group: the one with the smallest id; rows without an id come last.
+
+    Null and empty texts form one group. An id that stands in several groups keeps a row in each; of rows equal in id and
+    text one stays, whatever their other columns. An empty table gives an empty one.
+    """
     return simhash.deduplicate(docs, null_ids_stay=False)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark, however long they are."""
+    """Documents without a window of the benchmark, however long they are.
+
+    Null and empty texts hold none and stay; null ids and repeated rows are judged by their text alone; an empty benchmark
+    drops nothing.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; small sources repeated up to the limit."""
+    """Every document at least once; small sources repeated up to the limit.
+
+    Null sources are one source; a source without words (null and empty texts) is used once; equal rows are used alike.
+    """
     return mixing.mix(docs, max_repeats=mixing.MAX_REPEATS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in shuffled order with their shard and slot."""
+    """Documents in shuffled order with their shard and slot; columns of these names are replaced.
+
+    Null texts and ids and repeated rows are records like any other; an empty table gives an empty one.
+    """
     return sharding.shard(docs)
 
 
