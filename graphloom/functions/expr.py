@@ -81,6 +81,19 @@ def modulo(a: Column, b: Column) -> Column:
     return F.try_mod(a, b)
 
 
+def is_empty(value: Column) -> Column:
+    """A value that its row lacks, by reading a property that the row's type does not have, is null here."""
+    return value.isNull()
+
+
+def increment(value: Column) -> Column:
+    return value + 1
+
+
+def decrement(value: Column) -> Column:
+    return value - 1
+
+
 def matches(value: Column, pattern: str) -> Column:
     """The whole value matches the regular expression."""
     return value.rlike(f"^(?:{pattern})$")

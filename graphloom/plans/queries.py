@@ -343,6 +343,13 @@ def expr_edge_keys(spark, d):
     return traverse.edges(g, g.tag("orders").frame, t)
 
 
+@query("SELECT c_custkey, x IS NULL AS is_empty, x IS NOT NULL AS not_empty, c_custkey + 1 AS up, c_custkey - 1 AS down, +c_acctbal AS plus FROM (SELECT *, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS x FROM customer)")
+def expr_unary(spark, d):
+    """IS [NOT] EMPTY: a value that a row lacks is null here; ++ and -- give the next and the last whole number."""
+    x, k = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")), F.col("c_custkey")
+    return read(spark, d, "customer").select("c_custkey", expr.is_empty(x).alias("is_empty"), (~expr.is_empty(x)).alias("not_empty"), expr.increment(k).alias("up"), expr.decrement(k).alias("down"), F.expr("+c_acctbal").alias("plus"))
+
+
 # Changes: the delta comes from the tables themselves
 
 _CUSTOMER_PROPS = ["c_name", "c_acctbal", "c_mktsegment"]
@@ -757,6 +764,37 @@ def feed_state(spark, d):
     return feed.state(spark, f"{root}/sink").select("key", "row")
 
 
+@query("SELECT count(*)::BIGINT AS n, max(n) AS highest FROM (SELECT unnest(generate_series(1, 6)) AS n)")
+def store_compare_and_set(spark, d):
+    """Two writers take numbers in turn; each change is made on the newest state, so none is lost."""
+    one = new_store(spark)
+    one.catalog.register_setting("app", "last", 0)
+    one.commit()
+    two, taken = Store(spark, one.root), []
+
+    def take(store):
+        store.catalog.set_setting("app", "last", store.catalog.get_setting("app", "last") + 1)
+        return store.catalog.get_setting("app", "last")
+
+    for writer in (one, two, two, one, two, one):
+        taken.append((writer.atomic(take),))
+    return spark.createDataFrame(taken, "n long").distinct().agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("highest"))
+
+
+@query("SELECT 6 AS parts, CAST(1.0 AS DOUBLE) AS least, CAST(1.0 AS DOUBLE) AS most, (SELECT count(*) FROM orders) AS edges")
+def job_shares(spark, d):
+    """What a STATS job kept: the out-shares of every partition come to 1."""
+    store = new_store(spark)
+    load(store, spark, d, "placed")
+    log = JobLog(store)
+    log.add(SPACE, "STATS")
+    log.run()
+    sums = log.correlativity(SPACE).groupBy("part").agg(F.sum("out_share").alias("s"))
+    shares = sums.agg(F.count(F.lit(1)).cast("int").alias("parts"), F.round(F.min("s"), 9).alias("least"), F.round(F.max("s"), 9).alias("most"))
+    edges = log.statistics(SPACE).where("kind = 'edge'").select(F.col("count").alias("edges"))
+    return shares.crossJoin(edges)  # one row each
+
+
 # The catalog
 
 
@@ -837,6 +875,38 @@ def catalog_parts(spark, d):
     return _staffed().list_parts(spark, "shop").select("part", "leader")
 
 
+@query("SELECT * FROM (VALUES ('storage', 'cache', '64', true), ('storage', 'name', '\"fast\"', false)) t(module, name, value, mutable)")
+def catalog_settings(spark, d):
+    c = _catalog()
+    c.register_setting("storage", "cache", 32)
+    c.register_setting("storage", "name", "fast", mutable=False)
+    c.set_setting("storage", "cache", 64)
+    return c.list_settings(spark)
+
+
+@query("SELECT 'edge' AS kind, 'placed' AS name UNION ALL SELECT 'space', 'shop' UNION ALL SELECT 'listener', 'audit'")
+def catalog_drops(spark, d):
+    """What is left once an index, its tag, a listener and a second space have been dropped."""
+    c = _catalog()
+    c.create_space("other")
+    for kind in ("fulltext", "audit"):
+        c.add_listener("shop", kind, f"/{kind}")
+    c.remove_listener("shop", "fulltext")
+    c.drop_index("shop", "by_name")
+    c.drop("shop", "customer", "tag")
+    c.drop_space("other")
+    return c.describe(spark).select("kind", "name")
+
+
+@query("SELECT 'http' AS kind, 'search' AS host, 9200 AS port, CAST(NULL AS VARCHAR) AS user")
+def catalog_text_clients(spark, d):
+    c = _catalog()
+    c.sign_in("http", [{"host": "old", "port": 1}])
+    c.sign_out()
+    c.sign_in("http", [{"host": "search", "port": 9200}])
+    return c.list_clients(spark)
+
+
 @query("SELECT * FROM (VALUES ('space', 1), ('tag', 1), ('edge', 1), ('tag index', 1), ('user', 2), ('host', 4), ('zone', 2), ('group', 1)) t(kind, n)")
 def catalog_dump(spark, d):
     return _staffed().describe(spark).groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
