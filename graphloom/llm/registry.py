@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontaminate, licenses, media, mixing, pii, quality, secrets, sharding, simhash, toxicity
-from graphloom.llm.common import documents, ship
+from graphloom.llm.common import discard, documents, ship
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    index = secrets.indexed(docs)
+    found = secrets.scan(docs, index=index)
+    discard(index)
+    return found
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@
 3. Postings are intersected by row key and the queries evaluated; rows that pass are a rule's candidates.
 4. Candidates are verified by the expression itself. A rule that demands no trigram scans every text.
 
-Where an index is kept, its postings are intersected first and the candidates joined to their texts. Where none is, the
-postings of a row would be made from the text only to be joined to it again: they are intersected in the row instead, as
-far as each query needs them, and nothing is shuffled.
+indexed() builds the index as a table, which scan() takes. Texts are never moved to their candidates: the candidates'
+keys are hashed into blocks of bits, which all tasks get, and a text is verified for a rule whose bit its key finds set.
+Other rows' bits can only add verifications. Without an index, scan() intersects a row's trigrams in the row, as far as
+each query needs them, and no postings are made.
 
-A row key is a hash of id and text. Two rows of one key would share their trigrams, which can only add candidates.
+A row key is a hash of id and text. Rows of one key share their candidates, which can only add verifications.
 Matches of every rule are found in time linear in the text: what can be repeated without end is either taken whole by
 the match or preceded by a run of bounded length.
 """
@@ -27,7 +28,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_of
+from graphloom.llm.common import materialize, text_of
 
 
 @dataclass(frozen=True)
@@ -164,6 +165,38 @@ def candidates(index: DataFrame, vocabulary: list[str], queries: list[Query]) ->
     return index.groupBy("key").agg(*bits).select("key", rules.alias("rules")).where("rules > 0")
 
 
+#: Bits of a block (those of bitmap_construct_agg), candidates for each block, and the most blocks: 8 MB of bits.
+_BITS, _EACH, _BLOCKS = 32768, 128, 2048
+
+
+def _bit(k: Column) -> Column:
+    """The place in its block of a key's bit for rule k."""
+    return F.pmod(F.xxhash64("key", k), F.lit(_BITS))
+
+
+def _marked(rows: DataFrame, index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rows with a column `marks`: bits that are set for every rule, by number, of which the row's key is a candidate.
+
+    Postings are intersected and the candidates written at once; what reads the result needs the index no more. A bit is
+    also set where keys of one block collide. The blocks grow with the candidates up to their most; past that more bits
+    collide, and more texts are verified.
+    """
+    queries = [query(r.pattern) for r in rules]
+    hits = materialize(candidates(index, vocabulary_of(rules), queries), "candidates")
+    blocks = min(max(-(-hits.count() // _EACH), 1), _BLOCKS)
+    block = F.pmod("key", F.lit(blocks)).alias("block")
+    each = F.explode(F.filter(F.array(*[F.lit(k) for k in range(len(rules))]), lambda k: F.getbit("rules", k) == 1)).alias("k")
+    bits = hits.select("key", "rules", block).repartition("block").select("key", "block", each).groupBy("block").agg(F.bitmap_construct_agg(_bit(F.col("k"))).alias("bits"))
+    near = rows.select("*", block).join(F.broadcast(bits), "block", "left")
+
+    def mark(k: int) -> Column:
+        byte = F.conv(F.hex(F.substring("bits", (F.floor(_bit(F.lit(k)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        return F.shiftleft(F.getbit(byte, (_bit(F.lit(k)) % 8).cast("int")).cast("long"), k)
+
+    marks = reduce(lambda a, b: a.bitwiseOR(b), [mark(k) for k in range(len(rules))])
+    return near.select(*rows.columns, F.when(F.col("bits").isNull(), F.lit(0).cast("long")).otherwise(marks).alias("marks"))
+
+
 _CHUNK = 64
 
 
@@ -224,23 +257,26 @@ def vocabulary_of(rules: tuple[Rule, ...]) -> list[str]:
     return sorted(set().union(*(grams(query(r.pattern)) for r in rules)))
 
 
+def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """The inverted index of docs for scan(): the postings of the rules' vocabulary, written as a table."""
+    return materialize(postings(docs, vocabulary_of(rules), id_col, text_col), "postings")
+
+
 def _found(docs: DataFrame, keep: dict[str, Column], id_col: str, text_col: str, rules: tuple[Rule, ...], index: DataFrame | None) -> DataFrame:
     """The columns keep, and an array of spans of each rule as s0, s1, ..."""
     queries = [query(r.pattern) for r in rules]
-    vocabulary = vocabulary_of(rules)
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], text_of(text_col).alias("text"), *([] if index is None else [row_key(id_col, text_col).alias("key")]))
     none = F.array().cast("array<struct<start:bigint,n:int,end:bigint>>")
     if index is None:
         low = rows.withColumn("low", F.lower("text"))
         tests = [F.lit(True) if q is None else _meets(q, lambda g: F.contains(F.col("low"), F.lit(g))) for q in queries]
         rows = low.select(*keep, "text", *[t.alias(f"q{k}") for k, t in enumerate(tests)])
-    else:
-        hits = candidates(index, vocabulary, queries) if vocabulary else None
-        rows = rows if hits is None else rows.join(hits, "key", "left")
+    elif any(q is not None for q in queries):
+        rows = _marked(rows, index, rules)
     spans = []
     for k, (rule, q) in enumerate(zip(rules, queries, strict=True)):
         s = _spans(rule, k)
-        may = F.lit(True) if q is None else F.col(f"q{k}") if index is None else F.coalesce("rules", F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
+        may = F.lit(True) if q is None else F.col(f"q{k}") if index is None else F.getbit("marks", F.lit(k)) == 1
         spans.append(F.when(may, s).otherwise(none).alias(f"s{k}"))
     return rows.select(*keep, *spans)
 
@@ -250,7 +286,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
     The counts and the hash cover the base rules; `spans` lists all rules' spans as kind:start:end in code points, by
     start and then kind as listed. Null and empty texts have none. Null ids and repeated rows stay as they are; other
-    columns are ignored. rules begins with BASE. index: postings of these rules' vocabulary that have been kept, if any.
+    columns are ignored. rules begins with BASE. index: postings of these rules' vocabulary, as indexed() makes them, if
+    any; they are read at once and not again.
     """
     found = _found(docs, {"id": F.col(id_col)}, id_col, text_col, rules, index)
     base = F.concat(*[F.col(f"s{k}") for k in range(len(BASE))])
