@@ -99,11 +99,12 @@ def vid_errors(rows: DataFrame, keys: list[str], vid: PropertyType) -> DataFrame
 def accepted(rows: DataFrame, keys: list[str], partitions: int) -> tuple[DataFrame, DataFrame]:
     """The rows of partitions in which no row fails, and (part, error) of those in which one does.
 
-    A failing row fails its whole partition; the other partitions go on.
+    A failing row fails its whole partition; the other partitions go on. What failed is at most a row a partition and is
+    sent to where the rows lie: joined by shuffle, they would be no more tasks than partitions.
     """
     rows = rows.withColumn("_part", part_of(F.col(keys[0]), partitions))
     failed = rows.where("_error IS NOT NULL").groupBy("_part").agg(F.min("_error").alias("error"))
-    good = rows.join(failed.select("_part"), "_part", "left_anti").drop("_part", "_error")
+    good = rows.join(F.broadcast(failed.select("_part")), "_part", "left_anti").drop("_part", "_error")
     return good, failed.withColumnRenamed("_part", "part")
 
 
