@@ -64,6 +64,8 @@ def _edge_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # The property type of each type that the tables have.
 _TYPES = {"int": "INT32", "bigint": "INT64", "double": "DOUBLE", "string": "STRING", "date": "DATE", "timestamp_ntz": "DATETIME"}
 SPACE = "shop"
+#: Edge types whose keys _edge_rows makes unique, whatever the tables hold: by number, or by grouping.
+UNIQUE = ("contains", "supplied")
 #: One store for each application and folder of tables.
 _stores: dict[tuple[str, str], Store] = {}
 
@@ -83,7 +85,7 @@ def load(store: Store, spark: SparkSession, sf_dir: str, name: str) -> None:
     props = [f for f in rows.schema.fields if f.name not in ("_vid", *KEYS)]
     ttl = ("at", TTL) if name == "did" else (None, 0)
     store.catalog.create(SPACE, kind, name, [Prop(f.name, _TYPES[f.dataType.simpleString()], True) for f in props], *ttl)
-    store.insert(SPACE, name, rows)
+    store.insert(SPACE, name, rows, unique=name in UNIQUE)
 
 
 def stored(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> Store:

@@ -189,17 +189,18 @@ class Store:
 
     # Writes
 
-    def insert(self, space: str, name: str, rows: DataFrame, names: list[str] | None = None, if_not_exists: bool = False) -> DataFrame:
+    def insert(self, space: str, name: str, rows: DataFrame, names: list[str] | None = None, if_not_exists: bool = False, unique: bool = False) -> DataFrame:
         """Adds vertices' tag rows or edges; returns (part, error) of partitions that were refused.
 
         The last row of a key overwrites; with if_not_exists the first of the request is kept, and only where the key is absent.
+        unique: the rows are made such that no two have the same key, so they are neither shuffled nor sorted to find the last.
         """
         s, schema = self.catalog.space(space), self.catalog.schema(space, name)
         keys = keys_of(schema)
-        rows = mutate.numbered(rows)
+        rows = rows if unique else mutate.numbered(rows)
         ready = mutate.vid_errors(mutate.resolved(rows, keys, schema.latest, names), keys, vid_type(s.vid))
         good, failed = mutate.accepted(ready, keys, s.partitions)
-        new = mutate.one_of(good, keys, last=not if_not_exists)
+        new = good if unique else mutate.one_of(good, keys, last=not if_not_exists)
         if if_not_exists:
             new = new.join(self._merged(s, schema).select(*keys), keys, "left_anti")
         self._write(s, schema, self._physical(schema, new))
