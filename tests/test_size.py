@@ -60,3 +60,13 @@ def test_edges_that_are_numbered_are_shuffled_once(spark, no_broadcast, plans, t
     assert most >= 3 and edges.agg(F.max("_rank")).first()[0] == most
     kept = edges.select(F.substring("_src", 2, 20).cast("long").alias("l_orderkey"), "l_linenumber", "l_quantity", "l_shipdate")
     assert kept.exceptAll(read.select(*kept.columns)).count() == 0
+
+
+def test_no_table_is_shuffled_by_partition(spark, no_broadcast, plans, tmp_path):
+    """What neighbors_filter_edge and all other queries read: every table, as it is loaded."""
+    store = datasets.new_store(spark)
+    for name in (*datasets.TAGS, *datasets.EDGES):
+        datasets.load(store, spark, "/root/testdata/sf0.001", name)
+    assert set(plans) == {*datasets.TAGS, *datasets.EDGES}
+    for plan in plans.values():
+        assert "BroadcastHashJoin [_part#" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
